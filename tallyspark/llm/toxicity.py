@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tallyspark.llm import gru
 from tallyspark.llm.common import bounds, bucket, hashed, labelled_sample, slices, small_batches, table, words
