@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds as numpy arrays at once (one longer text makes a slice of its own).
 SLICE_BYTES = 4 << 20
-#: Rows in an Arrow batch: the texts of a batch are in a Python worker's memory together.
-BATCH_ROWS = 1000
+#: Bytes in an Arrow batch: the texts of a batch are in a Python worker's memory together.
+BATCH_BYTES = 8 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -44,10 +44,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the rows of an Arrow batch, as whole texts go into it."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the bytes of an Arrow batch, as whole texts go into it."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -62,6 +60,17 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             first = last
 
 
+def kept_rows(docs: DataFrame, decide) -> DataFrame:
+    """The rows of docs (all columns) for which decide(batch) is true."""
+    small_batches(docs.sparkSession)
+
+    def choose(batches):
+        for b in slices(batches):
+            yield b.filter(pa.array(decide(b), pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def filled(text: pa.Array) -> pa.Array:
     return pc.fill_null(text.cast(pa.large_string()), "")
 

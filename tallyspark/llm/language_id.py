@@ -18,13 +18,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import gru
-from tallyspark.llm.common import bucket, labelled_sample, slices, small_batches, table, utf8
+from tallyspark.llm.common import bucket, kept_rows, labelled_sample, slices, small_batches, table, utf8
 
 SPAN = 64
 HIDDEN = 8
 PER_LANG = 500
 MAX_CHARS = 20_000
 PAD = 256
+#: The pipeline rejects documents whose best language is less likely.
+LEAST = 0.3
 
 
 @dataclass
@@ -125,6 +127,12 @@ def predict(docs: DataFrame, model: ByteTagger | None) -> DataFrame:
     return rows.mapInArrow(label, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
+def drop_unknown(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """docs without the rows that have no letter, or whose best language has a probability under `least`."""
+    model, lettered = fit(docs), docs.where(F.col("text").rlike(r"\p{L}"))
+    return kept_rows(lettered, lambda b: model.document_probs(*utf8(b.column("text"))).max(axis=1) >= least) if model else lettered
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, fit(docs))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm import gru
-from tallyspark.llm.common import bounds, bucket, hashed, labelled_sample, slices, small_batches, table, words
+from tallyspark.llm.common import bounds, bucket, hashed, kept_rows, labelled_sample, slices, small_batches, table, words
 
 WIDTH, STRIDE = 16, 8
 CHAR_HIDDEN, HIDDEN = 6, 8
@@ -228,6 +228,12 @@ def predict(docs: DataFrame, model: WindowScorer | None) -> DataFrame:
     return rows.mapInArrow(score, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that score 0.5 or more."""
+    model = fit(docs, labels)
+    return kept_rows(docs, lambda b: model.scores(b.column("text")) < 0.5) if model else docs
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return predict(docs, fit(docs, table(spark, sf_dir, "labels")))
