@@ -1,6 +1,6 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling scores every overlapping window of a text.
 
-A word enters as the sum of a word input (a row of a hashed table) and a character input (the end states of two recurrent layers over
+A word enters as the sum of a word input (a row of its own if it is frequent, else a shared one) and a character input (the end states of two recurrent layers over
 the word's bytes). Two more recurrent layers read windows of `WIDTH` words, `STRIDE` apart, so neighbouring windows share half of their
 words; attention over the places of a window pools the states into one logit. A document's score comes from its highest window, through
 a logistic curve fitted on the same learning rows. Every weight is trained in numpy by back-propagation through time, on a bounded sample
@@ -20,11 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm import gru
-from tallyspark.llm.common import bounds, bucket, hashed, kept_rows, labelled_sample, slices, small_batches, table, words
+from tallyspark.llm.common import bounds, bucket, kept_rows, labelled_sample, slices, small_batches, table, words
 
 WIDTH, STRIDE = 16, 8
-CHAR_HIDDEN, HIDDEN = 6, 8
-WORD_ROWS = 8192
+CHAR_HIDDEN, HIDDEN = 8, 8
+#: Words have a row of their own if so many learning documents hold them; all others share one.
+LEAST_DOCS = 4
+#: Share of the words whose character input is left out in a learning step, and the decay of the weights.
+DROPPED, DECAY = 0.1, 1e-4
 #: A word's bytes enter in pieces of at most so many; a longer word is read as several words.
 PIECE = 16
 PER_CLASS = 1200
@@ -69,6 +72,7 @@ def windows(row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class WindowScorer:
     p: dict[str, np.ndarray]
+    frequent: list[bytes]
     curve: tuple[float, float] = field(default=(1.0, 0.0))
 
     def word_inputs(self, vocab: pa.Array, rows: np.ndarray, block: int = 8192) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +90,7 @@ class WindowScorer:
         """The logit of every window, and the text it is of."""
         p = self.p
         code, row, vocab = pieces(text)
-        gates_a, gates_b = (gru.held(x) for x in self.word_inputs(vocab, word_rows(vocab)))
+        gates_a, gates_b = (gru.held(x) for x in self.word_inputs(vocab, word_rows(vocab, self.frequent)))
         place, owner = windows(row, len(text))
         ids = np.where(place >= 0, np.append(code, 0)[place], len(vocab)).astype(np.int32)
         out = np.empty(len(ids), np.float32)
@@ -106,8 +110,10 @@ class WindowScorer:
         return gru.sigmoid(a * self.highest(text).astype(float) + b)
 
 
-def word_rows(vocab: pa.Array) -> np.ndarray:
-    return (hashed(vocab) % np.uint64(WORD_ROWS)).astype(np.int64)
+def word_rows(vocab: pa.Array, frequent: list[bytes]) -> np.ndarray:
+    """Rows of the word tables; 0 is shared."""
+    found = pc.index_in(vocab, value_set=pa.array(frequent, pa.large_binary()))
+    return pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
 
 
 def attend(states: np.ndarray, mask: np.ndarray, p: dict):
@@ -118,7 +124,7 @@ def attend(states: np.ndarray, mask: np.ndarray, p: dict):
     return pooled @ p["out"] + p["bias"][0], weight, pooled
 
 
-def train(texts: list[str], labels: list[int], steps: int = 400, batch: int = 192, seed: int = 11) -> WindowScorer:
+def train(texts: list[str], labels: list[int], steps: int = 450, batch: int = 192, seed: int = 11) -> WindowScorer:
     """Each step draws windows of both classes evenly. At first a window's label is its document's; after a third of the steps, and again
     after two thirds, positives are drawn from the highest windows of each toxic document and half of the negatives from those of the others."""
     rng = np.random.default_rng(seed)
@@ -128,19 +134,21 @@ def train(texts: list[str], labels: list[int], steps: int = 400, batch: int = 19
         apart[:] = False
     text, label = every.filter(pa.array(~apart)), truth[~apart]
     code, row, vocab = pieces(text)
-    rows, chars = word_rows(vocab), char_codes(vocab)
+    held_by = np.bincount(np.unique(row * max(1, len(vocab)) + code) % max(1, len(vocab)), minlength=len(vocab))
+    frequent = vocab.filter(pa.array(held_by >= LEAST_DOCS)).to_pylist()
+    rows, chars = word_rows(vocab, frequent), char_codes(vocab)
     place, owner = windows(row, len(text))
     of = [np.flatnonzero(label[owner] == k) for k in (0, 1)]
     init = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
     c, h = CHAR_HIDDEN, HIDDEN
     p = {"c_in_a": init(PAD + 1, 3 * c), "c_in_b": init(PAD + 1, 3 * c), "c_u_a": init(c, 3 * c), "c_u_b": init(c, 3 * c)}
-    p |= {"mix_a": init(2 * c, 3 * h), "mix_b": init(2 * c, 3 * h), "word_a": 0.1 * init(WORD_ROWS, 3 * h), "word_b": 0.1 * init(WORD_ROWS, 3 * h)}
+    p |= {"mix_a": init(2 * c, 3 * h), "mix_b": init(2 * c, 3 * h), "word_a": 0.1 * init(len(frequent) + 1, 3 * h), "word_b": 0.1 * init(len(frequent) + 1, 3 * h)}
     p |= {"u_a": init(h, 3 * h), "u_b": init(h, 3 * h), "att": init(2 * h), "out": init(2 * h), "bias": np.zeros(1, np.float32)}
     adam = gru.Adam(p, 0.02)
     for step in range(steps):
         adam.rate = 0.02 * (1 - step / steps) + 0.001
         if step and step % (steps // 3 + 1) == 0:
-            top = highest_windows(WindowScorer(p).logits(text)[0], owner)
+            top = highest_windows(WindowScorer(p, frequent).logits(text)[0], owner)
             of = [np.concatenate([of[0], np.resize(top[label[owner[top]] == 0], len(of[0]))]), top[label[owner[top]] == 1]]
         pick = np.concatenate([rng.choice(x, batch // 2) for x in of])
         at = np.ascontiguousarray(place[pick].T)
@@ -156,7 +164,8 @@ def train(texts: list[str], labels: list[int], steps: int = 400, batch: int = 19
             states, cache = gru.forward(p[f"c_in_{side}"][codes], p[f"c_u_{side}"], (codes != PAD).astype(np.float32), keep=True)
             ends.append(states[-1])
             kept.append((codes, cache))
-        char = np.concatenate(ends, axis=1)
+        dropped = (rng.random((len(used), 1)) >= DROPPED).astype(np.float32)
+        char = np.concatenate(ends, axis=1) * dropped
         gates = {s: char @ p[f"mix_{s}"] + p[f"word_{s}"][rows[used]] for s in "ab"}
         s_a, cache_a = gru.forward(gates["a"][where], p["u_a"], mask, keep=True)
         s_b, cache_b = gru.forward(gates["b"][where[::-1]], p["u_b"], mask[::-1], keep=True)
@@ -175,15 +184,15 @@ def train(texts: list[str], labels: list[int], steps: int = 400, batch: int = 19
         for s, dg, w in (("a", d_a, where), ("b", d_b, where[::-1])):
             d_gate = gru.add_rows(w, dg, len(used))
             g[f"mix_{s}"] = char.T @ d_gate
-            g[f"word_{s}"] = gru.add_rows(rows[used], d_gate, WORD_ROWS)
+            g[f"word_{s}"] = gru.add_rows(rows[used], d_gate, len(frequent) + 1)
             d_char += d_gate @ p[f"mix_{s}"].T
         for k, (s, (codes, cache)) in enumerate(zip("ab", kept, strict=True)):
             d_end = np.zeros((PIECE, len(used), c), np.float32)
-            d_end[-1] = d_char[:, k * c : (k + 1) * c]
+            d_end[-1] = dropped * d_char[:, k * c : (k + 1) * c]
             dg, g[f"c_u_{s}"] = gru.backward(d_end, cache)
             g[f"c_in_{s}"] = gru.add_rows(codes, dg, PAD + 1)
-        adam.step(g)
-    model = WindowScorer(p)
+        adam.step({key: d + DECAY * p[key] for key, d in g.items()})
+    model = WindowScorer(p, frequent)
     if len(set(truth[apart])) < 2:
         apart[:] = True
     model.curve = logistic(model.highest(every.filter(pa.array(apart))).astype(float), truth[apart])
