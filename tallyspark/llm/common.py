@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task holds as numpy arrays at once (one longer text makes a slice of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bytes in an Arrow batch: the texts of a batch are in a Python worker's memory together.
 BATCH_BYTES = 8 << 20
 
@@ -72,7 +72,12 @@ def kept_rows(docs: DataFrame, decide) -> DataFrame:
 
 
 def filled(text: pa.Array) -> pa.Array:
-    return pc.fill_null(text.cast(pa.large_string()), "")
+    """Large strings without nulls that begin at their buffer's start: some Arrow functions take a sliced array's bytes from the wrong place."""
+    arr = pc.fill_null(text.cast(pa.large_string()), "")
+    at = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
+    if not len(arr) or arr.buffers()[2] is None or (not at[0] and not arr.offset):
+        return arr
+    return pa.LargeStringArray.from_buffers(len(arr), pa.py_buffer(at - at[0]), arr.buffers()[2].slice(at[0], at[-1] - at[0]))
 
 
 def utf8(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:

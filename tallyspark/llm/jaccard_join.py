@@ -7,10 +7,10 @@ share, one is equal to one of the partner's (pigeonhole). Sketches are joined pe
 and a document that may be the larger of a pair across a border is in the lower band too. Cells made of shingles that are very frequent
 in a sample stand last in the order; this changes which cells are compared first, and no result.
 
-Documents with the same set are one class, joined once. Of the classes that share a cell, the first few are compared with all others whose
-component differs, then the components are formed, and so on with eight times as many, until in no cell two classes of different
-components are left uncompared: no link between different texts is lost, and copies are not expanded into pairs. Each comparison counts the
-intersection exactly.
+Documents with the same set are one class, joined once. Of the classes that share a cell, the first is compared with all others, then the
+components are formed, then the first 64 with all others whose component differs, and so on in blocks, until in no cell two classes of
+different components are left uncompared: no link between different texts is lost, and copies are not expanded into pairs. Pairs whose bit
+sketches are too far apart go at once; for the others the intersection is counted exactly.
 
 Defined results: a text with fewer than WORDS words has its whole sequence as one shingle; without words, or null, n_shingles is 0 and the
 document is linked with nothing; repeated rows are copies; a null doc_id is a document whose component is the smallest doc_id that is not
@@ -19,9 +19,11 @@ null, if there is one; an empty table gives an empty result. Other columns are i
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import bounds, hashed, materialize, mix, slices, small_batches, table, words
@@ -35,7 +37,8 @@ BANDS = 4 ** np.arange(16)
 SMALL = 64
 #: The table of frequent shingles: buckets, and documents in the sample that it is made from.
 HOT_BUCKETS, HOT_SAMPLE = 1 << 20, 20_000
-STEP = 8
+#: Classes of a key that are held at once, to be compared with all later ones.
+BLOCK = 4096
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,14 +141,14 @@ def frequent_shingles(docs: DataFrame, sample: int = HOT_SAMPLE) -> np.ndarray:
 
 
 def shared(batches):
-    """Of rows sorted by (key, cls), those of keys that two classes or more have, once each, with their rank in the key. A key's first row
-    waits until a second class comes; nothing else of a key is held."""
-    names = ["key", "cls", "n", "rank"]
+    """Of rows sorted by (key, cls), those of keys that two classes or more have, once each. A key's first row waits until a second class comes;
+    nothing else of a key is held."""
+    names = ["key", "cls", "n"]
     out = lambda *x: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in x], names)
     last_key = last_cls = first_n = None
     count = 0
     for b in batches:
-        key, cls, n = (b.column(k).to_numpy(zero_copy_only=False) for k in names[:3])
+        key, cls, n = (b.column(k).to_numpy(zero_copy_only=False) for k in names)
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
         if last_key is not None:
@@ -155,20 +158,74 @@ def shared(batches):
             continue
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(starts, len(key)))
-        rank = np.arange(len(key)) - np.repeat(starts, size) + 1
         total = np.repeat(size, size)
         if last_key is not None and key[0] == last_key:
             if count == 1:
-                yield out([last_key], [last_cls], [first_n], [1])
-            rank[: size[0]] += count
+                yield out([last_key], [last_cls], [first_n])
             total[: size[0]] += count
             size[0] += count
         emit = total > 1
         if emit.any():
-            yield out(key[emit], cls[emit], n[emit], rank[emit])
+            yield out(key[emit], cls[emit], n[emit])
         last_key, last_cls, first_n, count = key[-1], cls[-1], n[-1], size[-1]
 
 
+def ranked(cells: DataFrame) -> DataFrame:
+    """cells with each class's rank in its key: first those that share cells with most others, as a text that others were made from does."""
+    sizes = cells.groupBy("key").agg(F.count("*").alias("many"))
+    met = cells.join(sizes, "key").groupBy("cls").agg(F.sum("many").alias("met"))
+    order = Window.partitionBy("key").orderBy(F.desc("met"), "cls")
+    return cells.join(met, "cls").withColumn("rank", F.row_number().over(order)).select("key", "cls", "n", "rank")
+
+
+def bit_sketch(value: np.ndarray, size: int) -> bytes:
+    """Parities of the hashes by their low bits: a power of two of bits, 4 to 8 for each shingle and 1024 at least."""
+    bits = max(1024, 4 << (size - 1).bit_length()) if size else 1024
+    return np.packbits(np.bincount((value & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8).tobytes()
+
+
+def folded(sketches: list[bytes], words_: int) -> np.ndarray:
+    """Sketches as 64-bit words, each folded to so many: its low bits' parities are the sums of the others'."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, words_), axis=0) for x in sketches])
+
+
+def plausible(low: int, high: int):
+    """From rows sorted by (key, rank): in each key, pairs of a class of rank over low and up to high and a later one, of different components,
+    whose sizes and Hamming distance allow a link. The distance of the sketches, the larger folded to the smaller, is at most the symmetric
+    difference, and a link's is at most (n_a + n_b) (SCALE - SHARE) / (SCALE + SHARE). Only the first `high - low` rows of a key are held."""
+
+    def run(batches):
+        last, held = None, []
+        for b in slices(batches, "sketch", 1 << 20):
+            key, cls, n, rank, comp = (b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "cls", "n", "rank", "comp"))
+            sketch = b.column("sketch").to_pylist()
+            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            found_a, found_b = [], []
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
+                if key[i] != last:
+                    last, held = key[i], []
+                held += [(cls[k], n[k], rank[k], comp[k], sketch[k]) for k in range(i, j) if rank[k] <= high]
+                if j - i == 1 and len(held) < 2:
+                    continue
+                size = min(min(len(x) for x in sketch[i:j]), min(len(x[4]) for x in held)) // 8
+                later = folded(sketch[i:j], size)
+                for at in range(0, len(held), block := max(1, (1 << 20) // (size * (j - i)))):
+                    part = held[at : at + block]
+                    p_cls, p_n, p_rank, p_comp = (np.array([x[k] for x in part]) for k in range(4))
+                    total = p_n[:, None] + n[i:j]
+                    near = (p_n[:, None] * SCALE >= n[i:j] * SHARE) & (n[i:j] * SCALE >= p_n[:, None] * SHARE)
+                    near &= (p_rank[:, None] < rank[i:j]) & (p_comp[:, None] != comp[i:j])
+                    if near.any():
+                        apart = np.bitwise_count(folded([x[4] for x in part], size)[:, None, :] ^ later[None]).sum(axis=2, dtype=np.int64)
+                        x, y = np.nonzero(near & (apart * (SCALE + SHARE) <= total * (SCALE - SHARE)))
+                        found_a.append(p_cls[x])
+                        found_b.append(cls[i:j][y])
+            if found_a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+
+    return run
+
+
 def verified(batches):
     """Of pairs (a, text_a, b, text_b), those whose sets are similar enough."""
     for b in pair_slices(batches):
@@ -224,46 +281,56 @@ def join(docs: DataFrame) -> DataFrame:
 
     rows = docs.select("text").mapInArrow(keys, "key long, cls long, n long")
     # a task sends a class once for each slice, so copies are gathered before the shuffle
-    cells = materialize(rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(shared, "key long, cls long, n long, rank long"), "cells")
+    cells = materialize(rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(shared, "key long, cls long, n long"), "shared")
+    cells = materialize(ranked(cells), "cells")
     members = cells.select(F.col("cls").alias("node")).distinct()
     texts = class_texts(docs, nodes, members)
     members = materialize(members, "members")
-    labels, edges, low, high = members.select("node", F.col("node").alias("comp")), None, 0, 1
-    most = cells.agg(F.max("rank")).first()[0] or 0
-    while low < most - 1:
-        found = materialize(compare(cells, labels, texts, low, high), "links")
+    labels, edges, low, live = members.select("node", F.col("node").alias("comp")), None, 0, cells
+    for high in itertools.chain((1, 64), itertools.count(BLOCK, BLOCK)):
+        found = materialize(compare(live, labels, texts, low, high), "links")
         edges = found if edges is None else edges.union(found)
         if not found.isEmpty():
             labels = components(members, edges)
-        low, high = high, high * STEP
-        mixed = cells.where(F.col("rank") > low).join(labels, cells["cls"] == labels["node"]).groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("rank").alias("rank")).where("x <> y")
-        most = mixed.agg(F.max("rank")).first()[0] or 0
+        low = high
+        tagged = live.where(F.col("rank") > low).join(labels.withColumnRenamed("node", "cls"), "cls")
+        mixed = tagged.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+        live = materialize(live.where(F.col("rank") > low).join(mixed, "key", "left_semi"), "live")
+        if live.isEmpty():
+            break
     return with_components(nodes, labels)
 
 
-def compare(cells: DataFrame, labels: DataFrame, texts: DataFrame, low: int, high: int) -> DataFrame:
-    """Links between a class of rank above low and up to high in a cell, and every later class there whose component differs."""
-    tagged = cells.where(F.col("rank") > low).join(labels.withColumnRenamed("node", "cls"), "cls")
-    first = tagged.where(F.col("rank") <= high).select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"), F.col("rank").alias("rank_a"), F.col("comp").alias("comp_a"))
-    rest = tagged.select("key", F.col("cls").alias("b"), F.col("n").alias("n_b"), F.col("rank").alias("rank_b"), F.col("comp").alias("comp_b"))
-    near = (F.col("n_a") * SCALE >= F.col("n_b") * SHARE) & (F.col("n_b") * SCALE >= F.col("n_a") * SHARE)
-    pairs = first.join(rest, "key").where((F.col("rank_a") < F.col("rank_b")) & (F.col("comp_a") != F.col("comp_b")) & near).select("a", "b").distinct()
-    with_a = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("text_a")), "a")
-    return with_a.join(texts.select(F.col("cls").alias("b"), F.col("text").alias("text_b")), "b").select("a", "text_a", "b", "text_b").mapInArrow(verified, "a long, b long")
+def compare(live: DataFrame, labels: DataFrame, texts: DataFrame, low: int, high: int) -> DataFrame:
+    """Links between a class of rank above low and up to high in a key, and every later class there whose component differs."""
+    of = lambda x, *cols: texts.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
+    if high == 1:  # one class against the others of its key: no more pairs than rows
+        one = live.where("rank = 1").select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"))
+        near = (F.col("n_a") * SCALE >= F.col("n") * SHARE) & (F.col("n") * SCALE >= F.col("n_a") * SHARE)
+        pairs = one.join(live.where("rank > 1"), "key").where(near).select("a", F.col("cls").alias("b")).distinct()
+    else:
+        tagged = live.join(labels.withColumnRenamed("node", "cls"), "cls").join(texts.select("cls", "sketch"), "cls")
+        dealt = tagged.select("key", "cls", "n", "rank", "comp", "sketch").repartition("key").sortWithinPartitions("key", "rank")
+        pairs = dealt.mapInArrow(plausible(low, high), "a long, b long").distinct()
+    return pairs.join(of("a", "text"), "a").join(of("b", "text"), "b").select("a", "text_a", "b", "text_b").mapInArrow(verified, "a long, b long")
 
 
 def class_texts(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """A text for each class that shares a cell."""
+    """A text, its size and its bit sketch for each class that shares a cell."""
     chosen = nodes.join(members.withColumnRenamed("node", "cls"), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("first_id"))
 
     def own(batches):
         for b in slices(batches):
-            ok = pa.array(class_ids(*shingles(b.column("text")), b.num_rows)[0] == b.column("cls").to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([b.column("cls").filter(ok), b.column("text").filter(ok)], ["cls", "text"])
+            value, row = shingles(b.column("text"))
+            cls, size = class_ids(value, row, b.num_rows)
+            ok, at = cls == b.column("cls").to_numpy(zero_copy_only=False), bounds(row, b.num_rows)
+            mask = pa.array(ok)
+            sketch = [bit_sketch(value[at[k] : at[k + 1]], int(size[k])) for k in np.flatnonzero(ok)]
+            yield pa.RecordBatch.from_arrays([b.column("cls").filter(mask), b.column("text").filter(mask), pa.array(size[ok].astype(np.int64)), pa.array(sketch, pa.binary())], ["cls", "text", "n", "sketch"])
 
     found = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "text")
     # rows may share a doc_id: only the text that the class is of counts
-    return materialize(found.mapInArrow(own, "cls long, text string").dropDuplicates(["cls"]), "texts")
+    return materialize(found.mapInArrow(own, "cls long, text string, n long, sketch binary").dropDuplicates(["cls"]), "texts")
 
 
 def with_components(nodes: DataFrame, labels: DataFrame) -> DataFrame:

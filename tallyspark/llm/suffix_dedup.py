@@ -33,6 +33,8 @@ REACH = LENGTH - GRAM
 START_BITS = 30
 PLACE_BITS = 33
 GROUP = 4096
+#: Bytes that a task hashes at once: some 130 bytes of arrays for each.
+SLICE = 1 << 20
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
@@ -103,7 +105,7 @@ def runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def anchor_rows(batches):
     """For each anchor: rank, position of its first start, its number of starts, and how far it lies from the first. `settled` rows repeat
     an earlier one of the slice wholly; they are dealt out by position."""
-    for b in slices(batches):
+    for b in slices(batches, limit=SLICE):
         raw, at = utf8(b.column("text"))
         where, gram, first, last, cover = anchors(raw, at)
         doc = np.searchsorted(at, first, side="right") - 1
@@ -162,7 +164,7 @@ def repeated(batches):
 
 def with_bytes(batches):
     """For each row of a document's anchors, the bytes that its starts cover."""
-    for b in slices(batches, limit=1 << 20):
+    for b in slices(batches, limit=SLICE):
         text = filled(b.column("text")).cast(pa.large_binary()).to_pylist()
         lists = b.column("found")
         row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
@@ -205,7 +207,7 @@ def second_rank(batches):
             continue
         held.append(b)
         size += b.nbytes
-        if size < 4 << 20:
+        if size < SLICE:
             continue
         whole = pa.concat_batches(held)
         rank, group = whole.column("rank").to_numpy(), whole.column("group").to_numpy()

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm import gru
-from tallyspark.llm.common import bounds, bucket, kept_rows, labelled_sample, slices, small_batches, table, words
+from tallyspark.llm.common import bounds, bucket, filled, kept_rows, labelled_sample, slices, small_batches, table, words
 
 WIDTH, STRIDE = 16, 8
 CHAR_HIDDEN, HIDDEN = 8, 8
@@ -37,7 +37,7 @@ PAD = 256
 
 def pieces(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """words(), lower-cased, where words of over PIECE bytes are cut into several."""
-    code, row, vocab = words(pc.utf8_lower(text.cast(pa.large_string())), lower=False)
+    code, row, vocab = words(pc.utf8_lower(filled(text)))
     size = pc.binary_length(vocab).to_numpy(zero_copy_only=False) if len(vocab) else np.zeros(0, int)
     if not len(size) or size.max() <= PIECE:
         return code, row, vocab.cast(pa.large_binary())
