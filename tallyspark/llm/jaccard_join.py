@@ -246,10 +246,24 @@ def pair_slices(batches):
         yield from slices([part], "text_b", 2 << 20)
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """node and comp, the smallest node reachable: labels go along the edges and then jump to their label's label, until none changes."""
+def plausible_pairs(batches):
+    """The same test for pairs that come with both sketches."""
+    for b in slices(batches, "sketch_a", 1 << 20):
+        ok = []
+        for x, y, n in zip(b.column("sketch_a").to_pylist(), b.column("sketch_b").to_pylist(), b.column("total").to_pylist(), strict=True):
+            size = min(len(x), len(y)) // 8
+            u, v = (np.frombuffer(z, np.uint64) for z in (x, y))
+            apart = np.bitwise_xor.reduce(np.concatenate([u, v]).reshape(-1, size), axis=0)
+            ok.append(int(np.bitwise_count(apart).sum()) * (SCALE + SHARE) <= n * (SCALE - SHARE))
+        mask = pa.array(ok, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node and comp, the smallest node reachable, of every node that has an edge: labels go along the edges and then jump to their label's
+    label, until none changes."""
     both = edges.union(edges.select("b", "a")).toDF("node", "other")
-    labels = nodes.select("node", F.col("node").alias("comp"))
+    labels = materialize(both.groupBy("node").agg(F.min("other").alias("comp")).select("node", F.least("node", "comp").alias("comp")), "labels")
     while True:
         near = both.join(labels.withColumnsRenamed({"node": "other", "comp": "near"}), "other").groupBy("node").agg(F.min("near").alias("near"))
         hop = materialize(labels.join(near, "node", "left").select("node", F.col("comp").alias("was"), F.least("comp", F.coalesce("near", "comp")).alias("comp")), "hop")
@@ -291,7 +305,8 @@ def join(docs: DataFrame) -> DataFrame:
         found = materialize(compare(live, labels, texts, low, high), "links")
         edges = found if edges is None else edges.union(found)
         if not found.isEmpty():
-            labels = components(members, edges)
+            linked = components(edges)
+            labels = members.join(linked, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
         low = high
         tagged = live.where(F.col("rank") > low).join(labels.withColumnRenamed("node", "cls"), "cls")
         mixed = tagged.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
@@ -307,7 +322,8 @@ def compare(live: DataFrame, labels: DataFrame, texts: DataFrame, low: int, high
     if high == 1:  # one class against the others of its key: no more pairs than rows
         one = live.where("rank = 1").select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"))
         near = (F.col("n_a") * SCALE >= F.col("n") * SHARE) & (F.col("n") * SCALE >= F.col("n_a") * SHARE)
-        pairs = one.join(live.where("rank > 1"), "key").where(near).select("a", F.col("cls").alias("b")).distinct()
+        pairs = one.join(live.where("rank > 1"), "key").where(near).select("a", F.col("cls").alias("b"), (F.col("n_a") + F.col("n")).alias("total")).distinct()
+        pairs = pairs.join(of("a", "sketch"), "a").join(of("b", "sketch"), "b").mapInArrow(plausible_pairs, "a long, b long")
     else:
         tagged = live.join(labels.withColumnRenamed("node", "cls"), "cls").join(texts.select("cls", "sketch"), "cls")
         dealt = tagged.select("key", "cls", "n", "rank", "comp", "sketch").repartition("key").sortWithinPartitions("key", "rank")
