@@ -23,10 +23,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm.common import filled, slices, small_batches, table
+from tallyspark.llm.common import Recent, filled, slices, small_batches, table
 
-#: Entries that a worker keeps of pieces and of runs.
-CACHE = 300_000
+#: Entries in a generation of what a worker keeps of pieces, words and runs.
+CACHE = 200_000
 #: Distinct words in one query.
 WORDS = 40_000
 LONG = 256
@@ -73,8 +73,7 @@ class ByteBpe:
         self.db.register("given_vocab", vocab)
         self.db.execute("CREATE TABLE merges AS FROM given_merges")
         self.db.execute("CREATE TABLE vocab AS FROM given_vocab")
-        self.pieces: dict[str, tuple[bytes, int, str]] = {}
-        self.runs: dict[bytes, bytes] = {}
+        self.pieces, self.words, self.runs = Recent(CACHE), Recent(CACHE), Recent(CACHE)
 
     def contract(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word."""
@@ -128,19 +127,17 @@ class ByteBpe:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """Each text's ids, and the same as decimal numbers joined by commas."""
         cut = [self.cut(x) for x in texts]
-        new = list({p for parts in cut for p in parts} - self.pieces.keys())
-        if len(self.pieces) + len(new) > CACHE:
-            self.pieces = {}
-            new = list({p for parts in cut for p in parts})
+        new = self.pieces.missing({p for parts in cut for p in parts})
         matches = [self.pattern.findall(p) for p in new]
-        distinct = list({m for ms in matches for m in ms})
-        ids = dict(zip(distinct, self.contract([m.encode() for m in distinct]), strict=True))
+        distinct = self.words.missing({m for ms in matches for m in ms})
+        self.words.young.update(zip(distinct, self.contract([m.encode() for m in distinct]), strict=True))
+        ids, known = self.words.young, self.pieces.young
         for p, ms in zip(new, matches, strict=True):
             own = [k for m in ms for k in ids[m]]
-            self.pieces[p] = np.array(own, np.int32).tobytes(), len(own), ",".join(map(str, own))
+            known[p] = np.array(own, np.int32).tobytes(), len(own), ",".join(map(str, own))
         out = []
         for parts in cut:
-            got = [self.pieces[p] for p in parts]
+            got = [known[p] for p in parts]
             out.append((np.frombuffer(b"".join([x[0] for x in got]), np.int32), ",".join([x[2] for x in got if x[1]])))
         return out
 
@@ -151,19 +148,17 @@ class ByteBpe:
             starts = np.flatnonzero(self.spaced[x]) * 4
             raw, ends = x.tobytes(), [*starts.tolist(), 4 * len(x)]
             runs.append([raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
-        every = {r for rs in runs for r in rs}
-        new = list(every - self.runs.keys())
-        if len(self.runs) + len(new) > CACHE:
-            self.runs, new = {}, list(every)
+        new = self.runs.missing({r for rs in runs for r in rs})
+        known = self.runs.young
         for i in range(0, len(new), WORDS):
             part = new[i : i + WORDS]
             size = np.array([len(r) // 4 for r in part])
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.frombuffer(b"".join(part), np.int32)))
             self.db.register("runs", pa.table({"w": np.arange(len(part), dtype=np.int32), "ids": lists}))
-            self.runs |= dict.fromkeys(part, b"")
+            known.update(dict.fromkeys(part, b""))
             for w, text in self.db.sql(EXPAND).fetchall():
-                self.runs[part[w]] = bytes.fromhex(text)
-        return [b"".join([self.runs[r] for r in rs]) for rs in runs]
+                known[part[w]] = bytes.fromhex(text)
+        return [b"".join([known[r] for r in rs]) for rs in runs]
 
 
 _coders: dict[tuple[str, str], ByteBpe] = {}

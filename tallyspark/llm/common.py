@@ -119,6 +119,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class Recent:
+    """A dictionary of at most two generations of about `size` entries: what the younger one lacks is taken over from the older or made anew."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys) -> list:
+        """Those of the keys that are in neither; all others are in `young` then, until the next call."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        out = []
+        for k in keys:
+            if k not in self.young:
+                if k in self.old:
+                    self.young[k] = self.old[k]
+                else:
+                    out.append(k)
+        return out
+
+
 def bounds(row: np.ndarray, n: int) -> np.ndarray:
     """Where each of n rows starts in a sorted array of row numbers (one more at the end)."""
     return np.searchsorted(row, np.arange(n + 1))

@@ -25,13 +25,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import filled, materialize, slices, small_batches, table, words
+from tallyspark.llm.common import Recent, materialize, slices, small_batches, table, words
 
 WINDOW = 4096
 MAX_QUEUES = 256
 END = 2
-#: Entries that a worker keeps of what it has tokenized.
-CACHE = 300_000
+#: Entries in a generation of what a worker keeps of what it has tokenized.
+CACHE = 400_000
 #: Rows up to which the starts of the blocks are broadcast (some 50 bytes each); above, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -44,7 +44,7 @@ def tokenizer(path: str) -> tuple:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path), {}
+        _tokenizers[path] = Tokenizer.from_file(path), Recent(CACHE)
     return _tokenizers[path]
 
 
@@ -52,16 +52,13 @@ def tokenize(text: pa.Array, path: str, end: int = END) -> tuple[np.ndarray, np.
     """The ids of all texts in a row, each text's end id included, and the places where they start (one more at the end). The tokenizer drops
     white space and never merges across it, so each distinct run between ASCII white space is tokenized once."""
     tok, known = tokenizer(path)
-    code, row, vocab = words(filled(text))
+    code, row, vocab = words(text, lower=True)  # the tokenizer lower-cases: fewer distinct runs
     said = vocab.to_pylist()
-    new = [x for x in said if x not in known]
-    if len(known) + len(new) > CACHE:
-        known.clear()
-        new = said
+    new, young = known.missing(said), known.young
     for i in range(0, len(new), 20_000):
         part = new[i : i + 20_000]
-        known.update((x, np.array(e.ids, np.uint32).tobytes()) for x, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True))
-    got = [known[x] for x in said]
+        young.update((x, np.array(e.ids, np.uint32).tobytes()) for x, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True))
+    got = [young[x] for x in said]
     flat, size = np.frombuffer(b"".join(got), np.uint32), np.array([len(x) // 4 for x in got], np.int64)
     many = size[code] if len(code) else code
     first = np.cumsum(many) - many
