@@ -2,8 +2,8 @@
 
 Encoding: the distinct pieces of a partition's texts that are no token themselves become rows of (word, position, token). A recursive query
 joins neighbouring positions with the merge table, contracts the leftmost pair of minimum rank of each word, and ends when no word has a
-pair left; an ordered aggregation gives each word's ids. Decoding joins (run, position, id) rows with the vocabulary and aggregates their
-bytes in order. Both keep a bounded dictionary (`CACHE`) of what they have done, for a worker's next texts.
+pair left; an ordered aggregation gives each word's ids. Decoding joins (text, position, id) rows with the vocabulary and aggregates their
+bytes in order. Encoding keeps a bounded dictionary (`CACHE`) of what it has done, for a worker's next texts.
 
 Defined results: a null text is an empty one (0 tokens, the digests of nothing); repeated rows get a row each; a null doc_id is kept. A piece
 of over `LONG` bytes would need as many rounds as it has merges, each over all of its rows; the same contractions are done with a heap
@@ -15,6 +15,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import itertools
+import operator
+import struct
+import sys
+from collections.abc import Sequence
 
 import duckdb
 import numpy as np
@@ -25,31 +30,33 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.llm.common import Recent, filled, slices, small_batches, table
 
-#: Entries in a generation of what a worker keeps of pieces, words and runs.
+#: Entries in a generation of what a worker keeps of pieces and words.
 CACHE = 200_000
 #: Distinct words in one query.
 WORDS = 40_000
 LONG = 256
+#: What str.isspace() takes as white space.
+SPACES = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace()]
+FIRST, SECOND = operator.itemgetter(0), operator.itemgetter(1)
 
+#: A row is a pair of neighbouring tokens: (word, position of the first, first, second). Contracting the pair at k drops its row and puts the
+#: made token into the rows beside it. A word that is no token itself keeps a pair to the end.
 CONTRACT = f"""
 WITH RECURSIVE step AS (
-    SELECT w, pos, tok, 0 AS turn FROM start_rows
+    SELECT w, pos, l, r, 0 AS turn FROM start_rows
   UNION ALL
-    (WITH pairs AS (
-        SELECT a.w, a.pos, m.made FROM step a JOIN step b ON b.w = a.w AND b.pos = a.pos + 1 JOIN merges m ON m.l = a.tok AND m.r = b.tok
-    ), best AS (
-        SELECT w, min(made::BIGINT * {LONG} + pos) AS key FROM pairs GROUP BY w
+    (WITH best AS (
+        SELECT w, min(m.made::BIGINT * {LONG} + pos) AS key FROM step JOIN merges m USING (l, r) GROUP BY w
+    ), hit AS (
+        SELECT w, (key % {LONG})::INT AS k, (key // {LONG})::INT AS made FROM best
     )
-    SELECT s.w, s.pos - (s.pos > key % {LONG})::INT, CASE WHEN s.pos = key % {LONG} THEN (key // {LONG})::INT ELSE s.tok END, s.turn + 1
-    FROM step s JOIN best USING (w) WHERE s.pos <> key % {LONG} + 1)
+    SELECT s.w, s.pos - (s.pos > k)::INT, CASE WHEN s.pos = k + 1 THEN made ELSE s.l END, CASE WHEN s.pos = k - 1 THEN made ELSE s.r END, s.turn + 1
+    FROM step s JOIN hit USING (w) WHERE s.pos <> k)
 )
-SELECT w, list(tok ORDER BY pos) AS ids FROM step JOIN (SELECT w, max(turn) AS turn FROM step GROUP BY w) USING (w, turn) GROUP BY w
+SELECT w, list(l ORDER BY pos) AS l, max_by(r, pos) AS last FROM step JOIN (SELECT w, max(turn) AS turn FROM step GROUP BY w) USING (w, turn) GROUP BY w
 """
 
-EXPAND = """
-SELECT w, string_agg(hex, '' ORDER BY pos) AS hex
-FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM runs) JOIN vocab USING (id) GROUP BY w
-"""
+EXPAND = "SELECT w, string_agg(hex, '' ORDER BY pos) AS hex FROM given_ids JOIN vocab USING (id) GROUP BY w"
 
 
 class ByteBpe:
@@ -61,9 +68,6 @@ class ByteBpe:
         self.bytes = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.single = np.array([self.ranks[bytes([k])] for k in range(256)], np.int32)
-        size = max(self.bytes) + 1
-        #: Whether a token starts with a space: a run of ids starts there.
-        self.spaced = np.array([self.bytes.get(k, b"").startswith(b" ") for k in range(size)])
         splits = [(self.ranks[k[:i]], self.ranks[k[i:]], v) for k, v in self.ranks.items() for i in range(1, len(k)) if k[:i] in self.ranks and k[i:] in self.ranks]
         l, r, made = np.array(splits, np.int32).reshape(-1, 3).T  # noqa: E741
         vocab = pa.table({"id": pa.array(list(self.bytes), pa.int32()), "hex": [x.hex() for x in self.bytes.values()]})
@@ -73,19 +77,20 @@ class ByteBpe:
         self.db.register("given_vocab", vocab)
         self.db.execute("CREATE TABLE merges AS FROM given_merges")
         self.db.execute("CREATE TABLE vocab AS FROM given_vocab")
-        self.pieces, self.words, self.runs = Recent(CACHE), Recent(CACHE), Recent(CACHE)
+        self.pieces, self.words = Recent(CACHE), Recent(CACHE)
 
-    def contract(self, words: list[bytes]) -> list[list[int]]:
+    def contract(self, words: list[bytes]) -> list[Sequence[int]]:
         """The ids of each word."""
-        out: list[list[int] | None] = [[self.ranks[w]] if w in self.ranks else self.contract_long(w) if len(w) >= LONG else None for w in words]
+        out: list[Sequence[int] | None] = [(self.ranks[w],) if w in self.ranks else self.contract_long(w) if len(w) >= LONG else None for w in words]
         todo = [k for k, ids in enumerate(out) if ids is None]
         for i in range(0, len(todo), WORDS):
             part = todo[i : i + WORDS]
             raw, size = np.frombuffer(b"".join(words[k] for k in part), np.uint8), np.array([len(words[k]) for k in part])
-            start = np.repeat(np.cumsum(size) - size, size)
-            self.db.register("start_rows", pa.table({"w": np.repeat(np.array(part, np.int32), size), "pos": (np.arange(len(raw)) - start).astype(np.int32), "tok": self.single[raw]}))
-            for w, ids in self.db.sql(CONTRACT).fetchall():
-                out[w] = ids
+            w, pos = np.repeat(np.array(part, np.int32), size), (np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+            pair = np.flatnonzero(w[:-1] == w[1:])
+            self.db.register("start_rows", pa.table({"w": w[pair], "pos": pos[pair], "l": self.single[raw[pair]], "r": self.single[raw[pair + 1]]}))
+            for k, ids, last in self.db.sql(CONTRACT).fetchall():
+                out[k] = (*ids, last)
         return out
 
     def contract_long(self, word: bytes) -> list[int]:
@@ -119,46 +124,35 @@ class ByteBpe:
     def cut(self, text: str) -> list[str]:
         """Pieces, each matched by the pattern on its own as in the whole text: a cut is made only before a single space between two other
         characters, where every match ends."""
-        parts = text.split(" ")
-        if all(x and not x[0].isspace() and not x[-1].isspace() for x in parts):
-            return [parts[0], *(" " + x for x in parts[1:])]
-        return self.pattern.findall(text)
+        if "\0" in text or text.strip() != text or any(w in text and (f" {w}" in text or f"{w} " in text) for w in SPACES):
+            return self.pattern.findall(text)
+        return text.replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, str]]:
         """Each text's ids, and the same as decimal numbers joined by commas."""
         cut = [self.cut(x) for x in texts]
-        new = self.pieces.missing({p for parts in cut for p in parts})
-        matches = [self.pattern.findall(p) for p in new]
-        distinct = self.words.missing({m for ms in matches for m in ms})
+        new = self.pieces.missing(itertools.chain.from_iterable(cut))
+        matches = [[p] if p[:1] == " " and p.isascii() and p[1:].isalpha() else self.pattern.findall(p) for p in new]
+        distinct = self.words.missing(itertools.chain.from_iterable(matches))
         self.words.young.update(zip(distinct, self.contract([m.encode() for m in distinct]), strict=True))
         ids, known = self.words.young, self.pieces.young
         for p, ms in zip(new, matches, strict=True):
-            own = [k for m in ms for k in ids[m]]
-            known[p] = np.array(own, np.int32).tobytes(), len(own), ",".join(map(str, own))
+            own = ids[ms[0]] if len(ms) == 1 else [k for m in ms for k in ids[m]]
+            known[p] = struct.pack(f"{len(own)}i", *own), "".join(f"{k}," for k in own)
         out = []
         for parts in cut:
-            got = [known[p] for p in parts]
-            out.append((np.frombuffer(b"".join([x[0] for x in got]), np.int32), ",".join([x[2] for x in got if x[1]])))
+            got = list(map(known.__getitem__, parts))
+            out.append((np.frombuffer(b"".join(map(FIRST, got)), np.int32), "".join(map(SECOND, got))[:-1]))
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
-        """The bytes of each list of ids, looked up by runs that start at a token with a space."""
-        runs = []
-        for x in ids:
-            starts = np.flatnonzero(self.spaced[x]) * 4
-            raw, ends = x.tobytes(), [*starts.tolist(), 4 * len(x)]
-            runs.append([raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)])
-        new = self.runs.missing({r for rs in runs for r in rs})
-        known = self.runs.young
-        for i in range(0, len(new), WORDS):
-            part = new[i : i + WORDS]
-            size = np.array([len(r) // 4 for r in part])
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.frombuffer(b"".join(part), np.int32)))
-            self.db.register("runs", pa.table({"w": np.arange(len(part), dtype=np.int32), "ids": lists}))
-            known.update(dict.fromkeys(part, b""))
+        """The bytes of each list of ids."""
+        out, size = [b""] * len(ids), np.array([len(x) for x in ids], np.int64)
+        if size.sum():
+            self.db.register("given_ids", pa.table({"w": np.repeat(np.arange(len(ids), dtype=np.int32), size), "pos": np.arange(size.sum()), "id": np.concatenate(ids)}))
             for w, text in self.db.sql(EXPAND).fetchall():
-                known[part[w]] = bytes.fromhex(text)
-        return [b"".join([known[r] for r in rs]) for rs in runs]
+                out[w] = bytes.fromhex(text)
+        return out
 
 
 _coders: dict[tuple[str, str], ByteBpe] = {}

@@ -129,14 +129,9 @@ class Recent:
         """Those of the keys that are in neither; all others are in `young` then, until the next call."""
         if len(self.young) > self.size:
             self.old, self.young = self.young, {}
-        out = []
-        for k in keys:
-            if k not in self.young:
-                if k in self.old:
-                    self.young[k] = self.old[k]
-                else:
-                    out.append(k)
-        return out
+        new = set(keys).difference(self.young)
+        self.young.update((k, self.old[k]) for k in new if k in self.old)
+        return list(new.difference(self.young)) if self.old else list(new)
 
 
 def bounds(row: np.ndarray, n: int) -> np.ndarray:
