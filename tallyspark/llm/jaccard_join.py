@@ -328,12 +328,15 @@ def compare(live: DataFrame, labels: DataFrame, texts: DataFrame, low: int, high
         tagged = live.join(labels.withColumnRenamed("node", "cls"), "cls").join(texts.select("cls", "sketch"), "cls")
         dealt = tagged.select("key", "cls", "n", "rank", "comp", "sketch").repartition("key").sortWithinPartitions("key", "rank")
         pairs = dealt.mapInArrow(plausible(low, high), "a long, b long").distinct()
-    return pairs.join(of("a", "text"), "a").join(of("b", "text"), "b").select("a", "text_a", "b", "text_b").mapInArrow(verified, "a long, b long")
+    # written first, so that Spark knows their size: while they are few, they go to the texts, and only texts that a pair needs are shuffled
+    pairs = materialize(pairs, "pairs")
+    left, right = pairs.join(of("a", "text"), "a"), of("b", "text").join(pairs.select("b").distinct(), "b", "left_semi")
+    return left.join(right, "b").select("a", "text_a", "b", "text_b").mapInArrow(verified, "a long, b long")
 
 
 def class_texts(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
     """A text, its size and its bit sketch for each class that shares a cell."""
-    chosen = nodes.join(members.withColumnRenamed("node", "cls"), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("first_id"))
+    chosen = materialize(nodes.join(members.withColumnRenamed("node", "cls"), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("first_id")), "chosen")
 
     def own(batches):
         for b in slices(batches):
