@@ -18,7 +18,11 @@ SLICE_BYTES = 2 << 20
 #: Bytes in an Arrow batch: the texts of a batch are in a Python worker's memory together.
 BATCH_BYTES = 8 << 20
 
+#: Removes the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dirs: dict[str, str] = {}
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """The shared folder in spark.checkpoint.dir; where that is unset, a folder of our own on a local master, and an error on a cluster."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-")
@@ -37,10 +43,36 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it again."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage: write df as Parquet in the shared folder and read it again. Its shuffle files go once it is written."""
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """The number of scratch tables so far, for written()."""
+    return len(_written)
+
+
+def written(since: int) -> list[str]:
+    return _written[since:]
+
+
+def release(spark: SparkSession, paths: list[str], keep: tuple[DataFrame, ...] = ()) -> None:
+    """Delete scratch tables, but for those that `keep` reads. What still reads them must not run any more."""
+    needed = {f.rsplit("/", 1)[0].rsplit("/", 1)[1] for df in keep for f in df.inputFiles()}
+    for path in paths:
+        if path in _written and path.rsplit("/", 1)[1] not in needed:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _written.remove(path)
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -1,44 +1,51 @@
 """N-gram Jaccard join over parity sketches, and the components of its links.
 
-A document's distinct shingles (`WORDS` consecutive lower-cased words) are XOR-hashed into the cells of a sketch: a cell holds the exclusive or
-of its shingles' hashes, so the number of cells in which two sketches differ is at most the symmetric difference of the sets. A link
-leaves a smaller document of n shingles at most n / 3 of those, so among its first n / 3 + 1 filled cells, in an order that all documents
-share, one is equal to one of the partner's (pigeonhole). Sketches are joined per size band on these cells; bands are a factor of 4 wide,
-and a document that may be the larger of a pair across a border is in the lower band too. Cells made of shingles that are very frequent
-in a sample stand last in the order; this changes which cells are compared first, and no result.
-
-Documents with the same set are one class, joined once. Of the classes that share a cell, the first is compared with all others, then the
-components are formed, then the first 64 with all others whose component differs, and so on in blocks, until in no cell two classes of
-different components are left uncompared: no link between different texts is lost, and copies are not expanded into pairs. Pairs whose bit
-sketches are too far apart go at once; for the others the intersection is counted exactly.
+A document's distinct shingles (`WORDS` consecutive lower-cased words) are hashed to 64 bits, and each flips the bit at its hash in a parity
+sketch. Two sketches differ in no more bits than their sets do: the Hamming distance is at most the symmetric difference. The sketch is kept
+in two forms. Cut into segments, of which a band of set sizes has a fixed number, it holds for each segment the exclusive or of the positions
+of its odd bits; equal segments have equal ones. Folded (positions by their low bits), it is a dense row of bits whose Hamming distance is a
+lower bound as well.
+
+A link leaves a smaller document of n shingles at most n / 3 differences, so among its first n / 3 + 1 filled segments, in an order that all
+documents share, one is equal to one of the partner's (pigeonhole). Sketches are joined per size band on these segments; bands are a factor of
+4 wide, and a document that may be the larger of a pair across a border is in the lower band too. Segments made of shingles that are very
+frequent in a sample stand last in the order; this changes which are compared first, and no result.
+
+Documents with the same set are one class, joined once. Of the classes that share a segment, first one is compared with all others (the one
+of whose segments most are shared, as in a text that others were made from), then the components are formed; then some `FEW` of the classes
+are compared with all others whose component differs, then all with all. So no link between different texts is lost, and copies are not
+expanded into pairs. A pair whose folded sketches are too far apart goes at once; for the others the intersection is counted exactly.
+
+A frequent segment's rows are dealt out by class beside the segment, and a segment of many classes is compared in parts of `PART` classes, so
+that no task has a whole hot segment.
 
 Defined results: a text with fewer than WORDS words has its whole sequence as one shingle; without words, or null, n_shingles is 0 and the
 document is linked with nothing; repeated rows are copies; a null doc_id is a document whose component is the smallest doc_id that is not
-null, if there is one; an empty table gives an empty result. Other columns are ignored. Sets are compared by 64-bit hashes.
+null, if there is one; rows that share a doc_id are documents of their own; an empty table gives an empty result; a very long text stands in a
+slice of its own (some 60 bytes of arrays for each of its words). Other columns are ignored. Sets are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import bounds, hashed, materialize, mix, slices, small_batches, table, words
+from tallyspark.llm.common import bounds, hashed, mark, materialize, mix, release, slices, small_batches, table, words, written
 
 WORDS = 5
 #: A link: SCALE * intersection >= SHARE * union.
 SHARE, SCALE = 75, 100
-#: Sizes (of the smaller document) at which a band begins.
+#: Sizes (of the smaller document) at which a band begins, and the least number of a sketch's segments.
 BANDS = 4 ** np.arange(16)
-#: In bands that begin below this size, every shingle has a cell of its own.
-SMALL = 64
+SEGMENTS = 64
 #: The table of frequent shingles: buckets, and documents in the sample that it is made from.
 HOT_BUCKETS, HOT_SAMPLE = 1 << 20, 20_000
-#: Classes of a key that are held at once, to be compared with all later ones.
-BLOCK = 4096
+#: About so many classes of a segment are compared with all others in the second round; a part of a segment has about so many classes.
+FEW, PART = 64, 4096
+#: Bytes of the folded sketch that goes with a class into every segment.
+FOLD = 128
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -80,30 +87,29 @@ def band_of(size: np.ndarray) -> np.ndarray:
     return np.searchsorted(BANDS, np.maximum(size, 1), side="right") - 1
 
 
-def band_keys(value: np.ndarray, row: np.ndarray, size: np.ndarray, band: np.ndarray, allowed: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first allowed + 1 filled cells of each text's sketch in its band: keys and texts. A text with no more filled cells than allowed
-    differences gets its band's common key beside them."""
+def band_keys(value: np.ndarray, row: np.ndarray, size: np.ndarray, band: np.ndarray, allowed: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The first allowed + 1 filled segments of each text's sketch in its band: keys, texts, and whether all shingles in the segment are
+    frequent. A text with no more filled segments than allowed differences gets its band's common key beside them."""
     cells = BANDS[np.minimum(band + 1, len(BANDS) - 1)]
-    cells = np.where(cells > 256, cells // 2, cells)[row].astype(np.uint64)
-    fine = (BANDS[band] < SMALL)[row]
-    cell = np.where(fine, value, (value >> np.uint64(20)) % cells)
+    cells = np.where(cells > 256, cells // 2, np.maximum(cells, SEGMENTS))[row].astype(np.uint64)
+    cell = (value >> np.uint64(20)) % cells
     order = np.lexsort((cell, row))
-    cell, of, v, fine = cell[order], row[order], value[order], fine[order]
+    cell, of, v = cell[order], row[order], value[order]
     first = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (of[1:] != of[:-1])])) if len(cell) else np.zeros(0, int)
     parity, owner = np.bitwise_xor.reduceat(v, first) if len(first) else v, of[first]
     frequent = np.logical_and.reduceat(hot[(v % np.uint64(HOT_BUCKETS)).astype(np.int64)], first) if len(first) else np.zeros(0, bool)
-    key = mix(mix(parity) + np.where(fine[first], np.uint64(0), cell[first]) * _P + band[owner].astype(np.uint64))
+    key = mix(mix(parity) + cell[first] * _P + band[owner].astype(np.uint64))
     order = np.lexsort((key, frequent, owner))
-    key, owner = key[order], owner[order]
+    key, owner, frequent = key[order], owner[order], frequent[order]
     begin = np.searchsorted(owner, owner)
     take = np.arange(len(owner)) - begin <= allowed[owner]
     filled = np.bincount(owner, minlength=len(size))
     sparse = np.flatnonzero((size > 0) & (filled <= allowed))
-    return np.concatenate([key[take], mix(band[sparse].astype(np.uint64) + np.uint64(1 << 40))]), np.concatenate([owner[take], sparse])
+    return np.concatenate([key[take], mix(band[sparse].astype(np.uint64) + np.uint64(1 << 40))]), np.concatenate([owner[take], sparse]), np.concatenate([frequent[take], np.ones(len(sparse), bool)])
 
 
-def sketch_keys(text: pa.Array, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, classes and sizes: what each class among the texts is joined on."""
+def sketch_keys(text: pa.Array, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Keys, classes, sizes and `frequent`: what each class among the texts is joined on."""
     value, row = shingles(text)
     cls, size = class_ids(value, row, len(text))
     first = np.zeros(len(text), bool)
@@ -117,8 +123,8 @@ def sketch_keys(text: pa.Array, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if cross.any():  # it may be the larger of a pair in the band below
         part = cross[row]
         out.append(band_keys(value[part], row[part], np.where(cross, size, 0), lower, size * 2 * (SCALE - SHARE) // (SCALE + SHARE), hot))
-    key, owner = (np.concatenate(x) for x in zip(*out, strict=True))
-    return key.view(np.int64), cls[owner], size[owner]
+    key, owner, frequent = (np.concatenate(x) for x in zip(*out, strict=True))
+    return key.view(np.int64), cls[owner], size[owner], frequent
 
 
 def frequent_shingles(docs: DataFrame, sample: int = HOT_SAMPLE) -> np.ndarray:
@@ -141,89 +147,119 @@ def frequent_shingles(docs: DataFrame, sample: int = HOT_SAMPLE) -> np.ndarray:
 
 
 def shared(batches):
-    """Of rows sorted by (key, cls), those of keys that two classes or more have, once each. A key's first row waits until a second class comes;
-    nothing else of a key is held."""
-    names = ["key", "cls", "n"]
-    out = lambda *x: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in x], names)
+    """Of rows sorted by (key, cls), those of keys that two classes or more have, and all of frequent keys, once each. A key's first row waits
+    until a second class comes; nothing else of a key is held."""
+    out = lambda *x: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in x], ["key", "cls", "n"])
     last_key = last_cls = first_n = None
     count = 0
     for b in batches:
-        key, cls, n = (b.column(k).to_numpy(zero_copy_only=False) for k in names)
+        key, cls, n, frequent = (b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "cls", "n", "frequent"))
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
         if last_key is not None:
             new &= (key != last_key) | (cls != last_cls)
-        key, cls, n = key[new], cls[new], n[new]
+        key, cls, n, frequent = key[new], cls[new], n[new], frequent[new]
         if not len(key):
             continue
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(np.append(starts, len(key)))
         total = np.repeat(size, size)
         if last_key is not None and key[0] == last_key:
-            if count == 1:
+            if count == 1 and not frequent[0]:
                 yield out([last_key], [last_cls], [first_n])
             total[: size[0]] += count
             size[0] += count
-        emit = total > 1
+        emit = (total > 1) | frequent
         if emit.any():
             yield out(key[emit], cls[emit], n[emit])
         last_key, last_cls, first_n, count = key[-1], cls[-1], n[-1], size[-1]
 
 
-def ranked(cells: DataFrame) -> DataFrame:
-    """cells with each class's rank in its key: first those that share cells with most others, as a text that others were made from does."""
-    sizes = cells.groupBy("key").agg(F.count("*").alias("many"))
-    met = cells.join(sizes, "key").groupBy("cls").agg(F.sum("many").alias("met"))
-    order = Window.partitionBy("key").orderBy(F.desc("met"), "cls")
-    return cells.join(met, "cls").withColumn("rank", F.row_number().over(order)).select("key", "cls", "n", "rank")
-
-
 def bit_sketch(value: np.ndarray, size: int) -> bytes:
-    """Parities of the hashes by their low bits: a power of two of bits, 4 to 8 for each shingle and 1024 at least."""
-    bits = max(1024, 4 << (size - 1).bit_length()) if size else 1024
+    """The sketch folded to a power of two of bits, 4 to 8 for each shingle and 8 * FOLD at least."""
+    bits = max(8 * FOLD, 4 << (size - 1).bit_length()) if size else 8 * FOLD
     return np.packbits(np.bincount((value & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8).tobytes()
 
 
-def folded(sketches: list[bytes], words_: int) -> np.ndarray:
-    """Sketches as 64-bit words, each folded to so many: its low bits' parities are the sums of the others'."""
-    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, words_), axis=0) for x in sketches])
-
-
-def plausible(low: int, high: int):
-    """From rows sorted by (key, rank): in each key, pairs of a class of rank over low and up to high and a later one, of different components,
-    whose sizes and Hamming distance allow a link. The distance of the sketches, the larger folded to the smaller, is at most the symmetric
-    difference, and a link's is at most (n_a + n_b) (SCALE - SHARE) / (SCALE + SHARE). Only the first `high - low` rows of a key are held."""
-
-    def run(batches):
-        last, held = None, []
-        for b in slices(batches, "sketch", 1 << 20):
-            key, cls, n, rank, comp = (b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "cls", "n", "rank", "comp"))
-            sketch = b.column("sketch").to_pylist()
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            found_a, found_b = [], []
-            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(key)], strict=True):
-                if key[i] != last:
-                    last, held = key[i], []
-                held += [(cls[k], n[k], rank[k], comp[k], sketch[k]) for k in range(i, j) if rank[k] <= high]
-                if j - i == 1 and len(held) < 2:
-                    continue
-                size = min(min(len(x) for x in sketch[i:j]), min(len(x[4]) for x in held)) // 8
-                later = folded(sketch[i:j], size)
-                for at in range(0, len(held), block := max(1, (1 << 20) // (size * (j - i)))):
-                    part = held[at : at + block]
-                    p_cls, p_n, p_rank, p_comp = (np.array([x[k] for x in part]) for k in range(4))
-                    total = p_n[:, None] + n[i:j]
-                    near = (p_n[:, None] * SCALE >= n[i:j] * SHARE) & (n[i:j] * SCALE >= p_n[:, None] * SHARE)
-                    near &= (p_rank[:, None] < rank[i:j]) & (p_comp[:, None] != comp[i:j])
-                    if near.any():
-                        apart = np.bitwise_count(folded([x[4] for x in part], size)[:, None, :] ^ later[None]).sum(axis=2, dtype=np.int64)
-                        x, y = np.nonzero(near & (apart * (SCALE + SHARE) <= total * (SCALE - SHARE)))
-                        found_a.append(p_cls[x])
-                        found_b.append(cls[i:j][y])
-            if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
-
-    return run
+def folded(sketch: bytes) -> bytes:
+    """The sketch folded to FOLD bytes: the parities of its low bits are the sums of the others'."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(-1, FOLD), axis=0).tobytes()
+
+
+def close(a: np.ndarray, b: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether sketches (64-bit words in the last axis) are near enough for a link of sets of `total` elements together."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64) * (SCALE + SHARE) <= total * (SCALE - SHARE)
+
+
+def plausible(batches):
+    """From rows sorted by (key, a, b, role): in each of these groups, pairs of a class of role 0 or 1 and a later one of role 1 or 2, of
+    different components, whose sizes and folded sketches allow a link. Only rows of roles 0 and 1 are held, some PART for each group."""
+    last, held = None, None
+    names = ("cls", "n", "comp", "role")
+    for b in slices(batches, "fold", 1 << 20):
+        group = [b.column(k).to_numpy(zero_copy_only=False) for k in ("key", "a", "b")]
+        cls, n, comp, role = (b.column(k).to_numpy(zero_copy_only=False) for k in names)
+        fold = np.frombuffer(b"".join(b.column("fold").to_pylist()), np.uint64).reshape(-1, FOLD // 8)
+        starts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([g[1:] != g[:-1] for g in group])]))
+        size = np.diff(np.append(starts, len(cls)))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def test(x: np.ndarray, y: np.ndarray, found=found, cls=cls, n=n, comp=comp, role=role, fold=fold) -> None:
+            ok = (n[x] * SCALE >= n[y] * SHARE) & (n[y] * SCALE >= n[x] * SHARE) & (comp[x] != comp[y]) & (role[x] < 2) & (role[y] > 0)
+            x, y = x[ok], y[ok]
+            for at in range(0, len(x), 1 << 16):
+                i, j = x[at : at + (1 << 16)], y[at : at + (1 << 16)]
+                near = close(fold[i], fold[j], n[i] + n[j])
+                found.append((cls[i[near]], cls[j[near]]))
+
+        # groups of few rows that begin here: all rows at once, with the next, the next but one, ...
+        nth, left = np.arange(len(cls)) - np.repeat(starts, size), np.repeat(size, size)
+        few = left <= FEW
+        goes_on = last is not None and tuple(g[0] for g in group) == last
+        if goes_on:
+            few[: size[0]] = False
+        at = np.flatnonzero(few)
+        for step in range(1, int(size[few[starts]].max(initial=1))):
+            at = at[nth[at] + step < left[at]]
+            test(at, at + step)
+        for i, j in zip(starts.tolist(), (starts + size).tolist(), strict=True):
+            if few[i]:
+                continue
+            if not (goes_on and i == 0):
+                held = []
+            for k in range(i, j, FEW):  # what stands before in the group, with these rows
+                z = min(k + FEW, j)
+                for h_cls, h_n, h_comp, h_role, h_fold in held:
+                    ok = (h_n[:, None] * SCALE >= n[k:z] * SHARE) & (n[k:z] * SCALE >= h_n[:, None] * SHARE) & (h_comp[:, None] != comp[k:z]) & (role[k:z] > 0)
+                    x, y = np.nonzero(ok)
+                    if len(x):
+                        near = close(h_fold[x], fold[k + y], h_n[x] + n[k + y])
+                        found.append((h_cls[x[near]], cls[k + y[near]]))
+                x, y = np.triu_indices(z - k, 1)
+                test(k + x, k + y)
+                if (keep := role[k:z] < 2).any():
+                    held.append(tuple(c[k:z][keep].copy() for c in (cls, n, comp, role, fold)))
+        # a group of few rows that ends the batch may go on in the next one
+        i = int(starts[-1])
+        if few[i]:
+            held = [tuple(c[i:][role[i:] < 2].copy() for c in (cls, n, comp, role, fold))]
+        last = tuple(g[-1] for g in group)
+        if found:
+            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def similar_sketches(batches):
+    """Of pairs with both sketches, those near enough for a link; the larger is folded to the smaller."""
+    for b in slices(batches, "sketch_a", 1 << 20):
+        ok = []
+        for x, y, n in zip(b.column("sketch_a").to_pylist(), b.column("sketch_b").to_pylist(), b.column("total").to_pylist(), strict=True):
+            u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            size = min(len(u), len(v))
+            u, v = (np.bitwise_xor.reduce(z.reshape(-1, size), axis=0) for z in (u, v))
+            ok.append(bool(close(u, v, n)))
+        mask = pa.array(ok, pa.bool_())
+        yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
 
 def verified(batches):
@@ -246,22 +282,10 @@ def pair_slices(batches):
         yield from slices([part], "text_b", 2 << 20)
 
 
-def plausible_pairs(batches):
-    """The same test for pairs that come with both sketches."""
-    for b in slices(batches, "sketch_a", 1 << 20):
-        ok = []
-        for x, y, n in zip(b.column("sketch_a").to_pylist(), b.column("sketch_b").to_pylist(), b.column("total").to_pylist(), strict=True):
-            size = min(len(x), len(y)) // 8
-            u, v = (np.frombuffer(z, np.uint64) for z in (x, y))
-            apart = np.bitwise_xor.reduce(np.concatenate([u, v]).reshape(-1, size), axis=0)
-            ok.append(int(np.bitwise_count(apart).sum()) * (SCALE + SHARE) <= n * (SCALE - SHARE))
-        mask = pa.array(ok, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
-
-
 def components(edges: DataFrame) -> DataFrame:
     """node and comp, the smallest node reachable, of every node that has an edge: labels go along the edges and then jump to their label's
     label, until none changes."""
+    spark, since = edges.sparkSession, mark()
     both = edges.union(edges.select("b", "a")).toDF("node", "other")
     labels = materialize(both.groupBy("node").agg(F.min("other").alias("comp")).select("node", F.least("node", "comp").alias("comp")), "labels")
     while True:
@@ -270,89 +294,122 @@ def components(edges: DataFrame) -> DataFrame:
         jump = hop.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
         labels_was = materialize(hop.join(jump, "comp", "left").select("node", "was", F.coalesce("root", "comp").alias("comp")), "labels")
         labels = labels_was.select("node", "comp")
+        release(spark, written(since), (labels_was,))
         if labels_was.where("was <> comp").isEmpty():
             return labels
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id, a row for each row of docs."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def text_key(text: Column | str) -> Column:
+    """With doc_id, it names a row: rows that share both are one text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """A row for each document: doc_id, text_key, n_shingles, its class, and its sketch in two sizes."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def describe(batches):
         for b in slices(batches):
-            cls, size = class_ids(*shingles(b.column("text")), b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(cls)], ["doc_id", "n_shingles", "cls"])
+            value, row = shingles(b.column("text"))
+            cls, size = class_ids(value, row, b.num_rows)
+            at = bounds(row, b.num_rows)
+            sketch = [bit_sketch(value[i:j], j - i) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), pa.array(size.astype(np.int64)), pa.array(cls), pa.array(sketch, pa.binary()), pa.array(map(folded, sketch), pa.binary())], ["doc_id", "text_key", "n_shingles", "cls", "sketch", "fold"])
+
+    return materialize(docs.select("doc_id", text_key("text").alias("text_key"), "text").mapInArrow(describe, f"doc_id {kind}, text_key long, n_shingles long, cls long, sketch binary, fold binary"), "nodes")
+
 
-    nodes = materialize(docs.select("doc_id", "text").mapInArrow(describe, f"doc_id {kind}, n_shingles long, cls long"), "nodes")
+def shared_segments(docs: DataFrame) -> DataFrame:
+    """key, cls, n: the segments that two classes or more have."""
     hot = frequent_shingles(docs)
 
     def keys(batches):
         for b in slices(batches):
-            key, cls, size = sketch_keys(b.column("text"), hot)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), pa.array(size.astype(np.int64))], ["key", "cls", "n"])
+            key, cls, size, frequent = sketch_keys(b.column("text"), hot)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls), pa.array(size.astype(np.int64)), pa.array(frequent)], ["key", "cls", "n", "frequent"])
 
-    rows = docs.select("text").mapInArrow(keys, "key long, cls long, n long")
+    rows = docs.select("text").mapInArrow(keys, "key long, cls long, n long, frequent boolean")
     # a task sends a class once for each slice, so copies are gathered before the shuffle
-    cells = materialize(rows.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(shared, "key long, cls long, n long"), "shared")
-    cells = materialize(ranked(cells), "cells")
-    members = cells.select(F.col("cls").alias("node")).distinct()
-    texts = class_texts(docs, nodes, members)
-    members = materialize(members, "members")
-    labels, edges, low, live = members.select("node", F.col("node").alias("comp")), None, 0, cells
-    for high in itertools.chain((1, 64), itertools.count(BLOCK, BLOCK)):
-        found = materialize(compare(live, labels, texts, low, high), "links")
+    dealt = rows.repartition(F.when(F.col("frequent"), F.xxhash64("key", "cls")).otherwise(F.col("key"))).sortWithinPartitions("key", "cls")
+    return materialize(dealt.mapInArrow(shared, "key long, cls long, n long"), "shared")
+
+
+def stars(cells: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of each class with the one of its segment of whose own segments the largest share is shared."""
+    share = cells.groupBy("cls").agg((F.count("*") / F.min("n")).alias("share"))
+    scored = cells.join(share.hint("merge"), "cls")
+    centre = materialize(scored.groupBy("key").agg(F.min(F.struct((-F.col("share")).alias("share"), F.col("cls").alias("a"), F.col("n").alias("n_a"))).alias("c")).select("key", "c.a", "c.n_a"), "centres")
+    near = (F.col("n_a") * SCALE >= F.col("n") * SHARE) & (F.col("n") * SCALE >= F.col("n_a") * SHARE) & (F.col("a") != F.col("cls"))
+    return cells.join(centre.hint("merge"), "key").where(near).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+
+
+def within(live: DataFrame, labels: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:
+    """Pairs whose folded sketches allow a link, of classes of a segment that are of different components: of some FEW classes with all, or of
+    all with all. A segment of many classes is dealt in parts: the rows that are compared with all others go to each part."""
+    sizes = materialize(live.groupBy("key").agg(F.count("*").alias("many")), "sizes")
+    rows = live.join(sizes.hint("merge"), "key").join(labels.withColumnRenamed("node", "cls").hint("merge"), "cls").join(classes.select("cls", "fold").hint("merge"), "cls")
+    parts = F.ceil(F.col("many") / PART).cast("int")
+    own = F.pmod(F.xxhash64("cls"), parts).cast("int")
+    all_parts = F.sequence(F.lit(0), parts - 1)
+    place = lambda a, b, role: F.struct(F.lit(a).cast("int").alias("a"), F.lit(b).cast("int").alias("b"), F.lit(role).cast("byte").alias("role"))
+    if whole:
+        several = F.concat(F.transform(all_parts, lambda k: place(own, k, 0)), F.transform(all_parts, lambda k: place(k, own, 2)))
+        places = F.when(parts > 1, several).otherwise(F.array(place(0, 0, 1)))
+    else:
+        chosen = F.pmod(F.xxhash64("cls", "key"), F.ceil(F.col("many") / FEW)) == 0
+        others = F.filter(all_parts, lambda k: k != own)
+        places = F.when(chosen, F.concat(F.array(place(0, own, 1)), F.transform(others, lambda k: place(0, k, 0)))).otherwise(F.array(place(0, own, 2)))
+    dealt = rows.select("key", "cls", "n", "comp", "fold", F.explode(places).alias("p")).select("key", "p.a", "p.b", "p.role", "cls", "n", "comp", "fold")
+    return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "role").mapInArrow(plausible, "a long, b long").distinct()
+
+
+def links(docs: DataFrame, nodes: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of classes, those that are links: by their sketches, then by their texts."""
+    of = lambda t, x, c: t.select(F.col("cls").alias(x), F.col(c).alias(f"{c}_{x}"), *([F.col("n").alias(f"n_{x}")] if c == "sketch" else []))
+    both = pairs.join(of(classes, "a", "sketch").hint("merge"), "a").join(of(classes, "b", "sketch").hint("merge"), "b").withColumn("total", F.col("n_a") + F.col("n_b"))
+    # written, so that Spark knows their size
+    left = materialize(both.select("a", "b", "sketch_a", "sketch_b", "total").mapInArrow(similar_sketches, "a long, b long"), "pairs")
+    needed = left.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    rows = needed.join(classes.select("cls", "row"), "cls").select("cls", F.col("row.doc_id").alias("first_id"), "row.text_key")
+    same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (text_key("text") == F.col("text_key"))
+    texts = materialize(docs.select("doc_id", "text").join(rows, same).select("cls", "text").dropDuplicates(["cls"]), "texts")
+    return materialize(left.join(of(texts, "a", "text"), "a").join(of(texts, "b", "text"), "b").select("a", "text_a", "b", "text_b").mapInArrow(verified, "a long, b long"), "links")
+
+
+def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each document (described()) and of each class that shares a segment (node, comp): its component."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    since = mark()
+    nodes = described(docs)
+    cells = shared_segments(docs)
+    members = cells.select("cls").distinct()
+    least = nodes.join(members, "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("fold").alias("fold"))
+    classes = materialize(least, "classes")
+    alone = classes.select(F.col("cls").alias("node"), F.col("cls").alias("comp"))
+    edges, labels, live = None, alone, cells
+    for turn in range(3):
+        pairs = stars(live, classes) if not turn else within(live, labels, classes, whole=turn == 2)
+        found = links(docs, nodes, classes, materialize(pairs, "candidates"))
         edges = found if edges is None else edges.union(found)
         if not found.isEmpty():
-            linked = components(edges)
-            labels = members.join(linked, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-        low = high
-        tagged = live.where(F.col("rank") > low).join(labels.withColumnRenamed("node", "cls"), "cls")
-        mixed = tagged.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-        live = materialize(live.where(F.col("rank") > low).join(mixed, "key", "left_semi"), "live")
+            of = components(edges)
+            labels = materialize(alone.select("node").join(of, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "components")
+        if turn == 2:
+            break
+        # segments of two classes are done in the first round, those of some FEW in the second
+        tagged = live.join(labels.withColumnRenamed("node", "cls").hint("merge"), "cls")
+        mixed = materialize(tagged.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("many")).where(f"x <> y and many > {(2, FEW)[turn]}").select("key"), "mixed")
+        live = materialize(live.join(mixed.hint("merge"), "key", "left_semi"), "live")
         if live.isEmpty():
             break
-    return with_components(nodes, labels)
-
+    release(spark, written(since), (nodes, labels))
+    return nodes, labels
 
-def compare(live: DataFrame, labels: DataFrame, texts: DataFrame, low: int, high: int) -> DataFrame:
-    """Links between a class of rank above low and up to high in a key, and every later class there whose component differs."""
-    of = lambda x, *cols: texts.select(F.col("cls").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in cols))
-    if high == 1:  # one class against the others of its key: no more pairs than rows
-        one = live.where("rank = 1").select("key", F.col("cls").alias("a"), F.col("n").alias("n_a"))
-        near = (F.col("n_a") * SCALE >= F.col("n") * SHARE) & (F.col("n") * SCALE >= F.col("n_a") * SHARE)
-        pairs = one.join(live.where("rank > 1"), "key").where(near).select("a", F.col("cls").alias("b"), (F.col("n_a") + F.col("n")).alias("total")).distinct()
-        pairs = pairs.join(of("a", "sketch"), "a").join(of("b", "sketch"), "b").mapInArrow(plausible_pairs, "a long, b long")
-    else:
-        tagged = live.join(labels.withColumnRenamed("node", "cls"), "cls").join(texts.select("cls", "sketch"), "cls")
-        dealt = tagged.select("key", "cls", "n", "rank", "comp", "sketch").repartition("key").sortWithinPartitions("key", "rank")
-        pairs = dealt.mapInArrow(plausible(low, high), "a long, b long").distinct()
-    # written first, so that Spark knows their size: while they are few, they go to the texts, and only texts that a pair needs are shuffled
-    pairs = materialize(pairs, "pairs")
-    left, right = pairs.join(of("a", "text"), "a"), of("b", "text").join(pairs.select("b").distinct(), "b", "left_semi")
-    return left.join(right, "b").select("a", "text_a", "b", "text_b").mapInArrow(verified, "a long, b long")
-
-
-def class_texts(docs: DataFrame, nodes: DataFrame, members: DataFrame) -> DataFrame:
-    """A text, its size and its bit sketch for each class that shares a cell."""
-    chosen = materialize(nodes.join(members.withColumnRenamed("node", "cls"), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("first_id")), "chosen")
 
-    def own(batches):
-        for b in slices(batches):
-            value, row = shingles(b.column("text"))
-            cls, size = class_ids(value, row, b.num_rows)
-            ok, at = cls == b.column("cls").to_numpy(zero_copy_only=False), bounds(row, b.num_rows)
-            mask = pa.array(ok)
-            sketch = [bit_sketch(value[at[k] : at[k + 1]], int(size[k])) for k in np.flatnonzero(ok)]
-            yield pa.RecordBatch.from_arrays([b.column("cls").filter(mask), b.column("text").filter(mask), pa.array(size[ok].astype(np.int64)), pa.array(sketch, pa.binary())], ["cls", "text", "n", "sketch"])
-
-    found = docs.select("doc_id", "text").join(chosen, F.col("doc_id").eqNullSafe(F.col("first_id"))).select("cls", "text")
-    # rows may share a doc_id: only the text that the class is of counts
-    return materialize(found.mapInArrow(own, "cls long, text string, n long, sketch binary").dropDuplicates(["cls"]), "texts")
-
-
-def with_components(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+def join(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id, a row for each row of docs."""
+    nodes, labels = linked(docs)
     classes = nodes.where("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     tagged = classes.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = tagged.groupBy("comp").agg(F.min("least").alias("component_id"))
@@ -362,11 +419,19 @@ def with_components(nodes: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one document of each component: the one of least doc_id. Rows that repeat doc_id and text are one document."""
-    kept = join(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id"))
-    kept = materialize(kept.groupBy("kept_id").agg(F.count("*").alias("rows")), "kept")
-    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
-    return left if kept.where("rows > 1").isEmpty() else left.dropDuplicates(["doc_id", "text"])
+    """docs with one document of each component: the one of least doc_id (null: last), of those that share it the one of least text_key. Rows
+    that repeat doc_id and text are one document; documents without words all stay."""
+    nodes, labels = linked(docs)
+    comp = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "cls"))
+    tagged = nodes.select("doc_id", "text_key", "n_shingles", "cls").join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", comp)
+    row = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
+    with_words = tagged.where("comp is not null").groupBy("comp").agg(F.min(row).alias("row"))
+    without = tagged.where("comp is null").select(row.alias("row")).distinct()
+    kept = materialize(with_words.select("row").union(without).select(F.col("row.doc_id").alias("kept_id"), F.col("row.text_key").alias("kept_key")), "kept")
+    repeats = nodes.groupBy("doc_id", "text_key").count().where("count > 1")
+    same = docs["doc_id"].eqNullSafe(kept["kept_id"]) & (text_key(docs["text"]) == kept["kept_key"])
+    left = docs.join(kept.hint("shuffle_hash"), same, "left_semi")
+    return left if repeats.isEmpty() else left.dropDuplicates(["doc_id", "text"])
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

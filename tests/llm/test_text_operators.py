@@ -134,16 +134,66 @@ def brute_join(rows):
     return by_count((i, len(x), least[c] if x else i) for (i, x), c in zip(sets, comp))
 
 
-def test_jaccard_join(spark, docs, monkeypatch):
+@pytest.mark.parametrize(("few", "part"), [(64, 4096), (3, 7)])
+def test_jaccard_join(spark, docs, monkeypatch, few, part):
     rows = [(i, t) for i, t, _ in ROWS if i != 9]  # brute_join splits at other spaces too
     assert by_count(jaccard_join.join(docs.where("doc_id is null or doc_id <> 9")).collect()) == brute_join(rows)
     words = [f"w{k}" for k in range(90)]
     near = [(k, " ".join(words[:k] + [f"x{k}"] + words[k + 1 :])) for k in range(0, 90, 3)] + [(1000 + k, " ".join(words[k : k + 70])) for k in range(15)]
-    monkeypatch.setattr(jaccard_join, "BLOCK", 65)
+    # small sets: of 1 to 12 shingles
+    near += [(2000 + k, " ".join(f"s{k // 40}-{j}" for j in range(k % 40 % 13 + 4)) + " end" * (k % 3 == 0)) for k in range(120)]
+    # many classes of a passage that are not links
+    near += [(3000 + k, " ".join([*words[:40], *(f"y{k // 2}-{j}" for j in range(25 + k % 2))])) for k in range(60)]
+    monkeypatch.setattr(jaccard_join, "FEW", few)
+    monkeypatch.setattr(jaccard_join, "PART", part)
     assert by_count(jaccard_join.join(spark.createDataFrame(near, "doc_id long, text string")).collect()) == brute_join(near)
     assert jaccard_join.join(docs.limit(0)).count() == 0
 
 
+def test_jaccard_frequent_segments(spark, monkeypatch):
+    """With every shingle taken as frequent, all segments are dealt out by class, and none is dropped."""
+    import numpy as np
+
+    monkeypatch.setattr(jaccard_join, "frequent_shingles", lambda docs: np.ones(jaccard_join.HOT_BUCKETS, bool))
+    rows = [(k, " ".join(f"w{j}" for j in range(k % 7, k % 7 + 30)) + f" {k}") for k in range(40)]
+    assert by_count(jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == brute_join(rows)
+
+
+def test_plausible_pairs_over_batches():
+    """Groups of any size, cut into batches anywhere, give the pairs that all rows at once give."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    sizes = [1, 2, 3, 70, 5, 200, 1, 1, 64, 65]
+    n = sum(sizes)
+    key = np.repeat(np.arange(len(sizes)), sizes)
+    cls, comp, role = rng.permutation(n), rng.integers(0, 9, n), rng.integers(0, 3, n)
+    order = np.lexsort((role, key))
+    cls, comp, role = cls[order], comp[order], role[order]
+    base = rng.integers(0, 256, (4, jaccard_join.FOLD), dtype=np.uint8)
+    fold = base[rng.integers(0, 4, n)] ^ (rng.random((n, jaccard_join.FOLD)) < 0.05)
+    want = set()
+    for i in range(n):
+        for j in range(i + 1, n):
+            if key[i] == key[j] and comp[i] != comp[j] and role[i] < 2 and role[j] > 0 and np.bitwise_count(fold[i] ^ fold[j]).sum() * 175 <= 200 * 25:
+                want.add((min(cls[i], cls[j]), max(cls[i], cls[j])))
+    zero = np.zeros(n, np.int32)
+    cols = {"key": key, "a": zero, "b": zero, "role": role.astype(np.int8), "cls": cls, "n": np.full(n, 100), "comp": comp, "fold": [x.tobytes() for x in fold]}
+    whole = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in cols.items()})
+    assert want
+    for step in (1, 3, 50, n):
+        got = [(a, b) for out in jaccard_join.plausible(whole.slice(i, step) for i in range(0, n, step)) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist())]
+        assert set(got) == want
+
+
+def test_one_of_each(spark, docs):
+    rows = [(1, LONG), (None, LONG + "x"), (None, LONG + "x"), (None, LONG + "x"), (5, "other text of a few more words"), (5, "yet another one that is not like it at all"), (6, None), (None, ""), (7, LONG), (8, "a b"), (8, "a b")]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, n long, cls string")
+    got = by_count(jaccard_join.one_of_each(df).collect())
+    assert got == by_count((i, t, 1, "k") for i, t in [(1, LONG), (5, rows[4][1]), (5, rows[5][1]), (6, None), (None, ""), (8, "a b")])
+    assert jaccard_join.one_of_each(docs).columns == docs.columns and jaccard_join.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_license_scan():
     index = license_scan.build_index(dict.fromkeys(license_scan.VOCABULARY, 1) | {"": 100})
     out = license_scan.scan(pa.array([None, "", "x\nLicensed under CC BY-NC 4.0.", "ALL rights (reserved) all rights reserved", "general publicé license"]), index)
