@@ -28,11 +28,11 @@ def canonical_name(name: Column) -> Column:
 
 
 def light_name(name: Column) -> Column:
-    """Lower case, no periods or apostrophes, each suffix removed once from the end, in order; null gives unknown_player."""
+    """Lower case, no periods or apostrophes, each suffix removed once from the end, in order; null or empty gives unknown_player."""
     out = F.translate(F.lower(F.trim(name)), ".'", "")
     for s in SUFFIXES:
-        out = F.trim(F.regexp_replace(out, f" {s}$", ""))
-    return F.coalesce(out, F.lit("unknown_player"))
+        out = F.regexp_replace(out, f" {s}$", "")
+    return F.when(F.coalesce(name, F.lit("")) == "", F.lit("unknown_player")).otherwise(out)
 
 
 def american_odds(text: Column) -> Column:
@@ -59,17 +59,119 @@ def sorted_tokens(x: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(x, r"\s+"), lambda t: t != "")), " ")
 
 
-def indel_score(a: Column, b: Column) -> Column:
-    """100 * 2 * LCS / (length a + length b), by bit-parallel longest common subsequence; a has at most 61 characters. Empty strings: 0."""
+def _bit_lcs(a: Column, b: Column) -> Column:
+    """The length of the longest common subsequence, a bit for each character of a (61 at most)."""
     ones = F.expr("shiftleft(1L, 0)")
-    chars = F.filter(F.split(a, ""), lambda c: c != "")
     full = (F.pow(F.lit(2.0), F.length(a)).cast("long") - 1).cast("long")
-    at = F.transform(chars, lambda c, i: F.struct(c.alias("c"), F.call_function("shiftleft", ones, i).alias("m")))
+    at = F.transform(_chars(a), lambda c, i: F.struct(c.alias("c"), F.call_function("shiftleft", ones, i).alias("m")))
 
     def step(s, c):
         mask = F.aggregate(at, F.lit(0).cast("long"), lambda m, x: F.when(x["c"] == c, m.bitwiseOR(x["m"])).otherwise(m))
         both = s.bitwiseAND(mask)
         return (s + both).bitwiseOR(s - both).bitwiseAND(full)
 
-    lcs = F.aggregate(F.filter(F.split(b, ""), lambda c: c != ""), full, step, lambda s: F.length(a) - F.bit_count(s))
+    return F.aggregate(_chars(b), full, step, lambda s: F.length(a) - F.bit_count(s))
+
+
+def _table_lcs(a: Column, b: Column) -> Column:
+    """The same for names of any length, a row of the usual table for each character of b."""
+    own = _chars(a)
+
+    def row(old, c):
+        def cell(new, j):
+            return F.concat(new, F.array(F.when(F.element_at(own, j) == c, F.element_at(old, j) + 1).otherwise(F.greatest(F.element_at(old, j + 1), F.element_at(new, -1)))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length(a)), F.array(F.lit(0)), cell)
+
+    return F.aggregate(_chars(b), F.array_repeat(F.lit(0), F.length(a) + 1), row, lambda last: F.element_at(last, -1))
+
+
+def _chars(x: Column) -> Column:
+    return F.filter(F.split(x, ""), lambda c: c != "")
+
+
+#: Characters of the shorter name up to which its positions are bits of a long.
+BITS = 61
+
+
+def indel_score(a: Column, b: Column) -> Column:
+    """100 * 2 * LCS / (length a + length b): bit-parallel where the shorter name has at most 61 characters, by table beyond. Empty strings: 0."""
+    first = F.length(a) <= F.length(b)
+    short, long = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
+    lcs = F.when(F.length(short) <= BITS, _bit_lcs(short, long)).otherwise(_table_lcs(short, long))
     return F.when((F.length(a) > 0) & (F.length(b) > 0), F.lit(200.0) * lcs / (F.length(a) + F.length(b))).otherwise(F.lit(0.0))
+
+
+#: Names that books use, and the names in the player table (both canonical).
+ALIASES = {
+    "nic claxton": "nicolas claxton",
+    "kj martin": "kenyon martin",
+    "mo bamba": "mohamed bamba",
+    "cam thomas": "cameron thomas",
+    "chuma okeke": "chukwuma okeke",
+    "guillermo hernangomez": "willy hernangomez",
+    "juancho hernangomez": "juan hernangomez",
+    "xnba": "unknown",
+    "alexandre sarr": "alex sarr",
+}
+
+
+def aliased(name: Column, aliases: dict[str, str]) -> Column:
+    """The name in the player table for a canonical name that has another one in the books."""
+    if not aliases:
+        return name
+    known = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, name), name)
+
+
+def teams_wanted(team: Column, options: Column) -> Column:
+    """The teams that a row names, of its own and of its options; empty ones and UNK name none."""
+    given = F.concat(F.array(team), F.coalesce(options, F.array().cast("array<string>")))
+    return F.filter(F.array_distinct(given), lambda t: t.isNotNull() & ~t.isin("", "UNK"))
+
+
+def listed(text: Column) -> Column:
+    """The strings in a list literal such as ['BOS', "LAL"]; no brackets: none."""
+    found = F.regexp_extract_all(text, F.lit(r"""'([^']*)'|"([^"]*)\""""), F.lit(0))
+    plain = F.transform(found, lambda x: F.substring(x, F.lit(2), F.length(x) - 2))
+    return F.when(F.contains(text, F.lit("[")), plain).otherwise(F.array().cast("array<string>"))
+
+
+def until_stop(text: Column, stops: list[str]) -> Column:
+    """The tokens before the first that is a stop word or all digits, joined by spaces."""
+    tokens = F.filter(F.split(text, r"\s+"), lambda t: t != "")
+    stop = F.array_position(F.transform(tokens, lambda t: t.isin(*stops) | F.regexp_like(t, F.lit("^[0-9]+$"))), F.lit(True)).cast("int")
+    return F.array_join(F.when(stop > 0, F.slice(tokens, F.lit(1), stop - 1)).otherwise(tokens), " ")
+
+
+def before_last(text: Column, sep: str) -> Column:
+    """What stands before the last separator; null where there is none."""
+    tail = F.length(F.substring_index(text, sep, -1)) + len(sep)
+    return F.when(F.contains(text, F.lit(sep)), F.substring(text, F.lit(1), F.length(text) - tail))
+
+
+def first_contained(text: Column, table: dict[str, str], otherwise: Column) -> Column:
+    """The value of the first key, in the table's order, that text contains."""
+    out = None
+    for k, v in table.items():
+        hit = F.contains(text, F.lit(k))
+        out = F.when(hit, v) if out is None else out.when(hit, v)
+    return out.otherwise(otherwise)
+
+
+#: The statistic behind each tab's label.
+TABS = {
+    "Points": "PTS", "Assists": "AST", "Rebounds": "REB", "Threes": "FG3M", "Pts+Ast": "PTS+AST", "Pts+Reb": "PTS+REB", "Reb+Ast": "REB+AST", "Pts+Reb+Ast": "PTS+REB+AST", "Fantasy": "FAN", "Blocks": "BLK", "Steals": "STL", "Turnovers": "TOV",
+}
+
+
+def tab_stat(label: Column) -> Column:
+    """The statistic of a tab; PTS for tabs without one."""
+    known = F.create_map(*(F.lit(x) for pair in TABS.items() for x in pair))
+    return F.coalesce(F.try_element_at(known, label), F.lit("PTS"))
+
+
+def signed_diff(x: Column) -> Column:
+    """A difference as text with one digit: + before a positive one, - for none at all."""
+    shown = F.round(x, 1).cast("decimal(18,1)").cast("string")
+    return F.when(F.coalesce(x, F.lit(0.0)) == 0, "-").when(x > 0, F.concat(F.lit("+"), shown)).otherwise(shown)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyspark.functions.scalars import indel_score, sorted_tokens
+from tallyspark.functions.scalars import ALIASES, aliased, canonical_name, indel_score, sorted_tokens, teams_wanted
 
 
 def latest(df: DataFrame, key: str | Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -41,28 +41,54 @@ def shares_to_hundred(df: DataFrame, key: str, part: str, order: Column, n: Colu
     return rows.withColumn("pct", (F.col("base") + F.when(rank <= short, 1).otherwise(0)).cast("int")).select(key, part, "pct")
 
 
+def _grams(x: Column) -> Column:
+    """The distinct pairs of neighbouring characters, with a mark at either end."""
+    marked = F.concat(F.lit("\x02"), x, F.lit("\x03"))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(marked) - 1), lambda i: F.substring(marked, i, F.lit(2))))
+
+
+def _lengths(x: Column, least: float) -> Column:
+    return F.sequence(F.ceil(F.length(x) * least).cast("int"), F.floor(F.length(x) / least).cast("int"))
+
+
 def best_match(names: DataFrame, known: DataFrame, cutoff: float, by_tokens: bool = False) -> DataFrame:
-    """For each distinct `name`, the best `candidate` with at least the cutoff; ties go to the smaller `ord`. `known` is a name dimension: it is
-    broadcast by Spark's own size threshold, and lengths that can't reach the cutoff are left out before scoring."""
-    a, b = (sorted_tokens(F.col("name")), sorted_tokens(F.col("candidate"))) if by_tokens else (F.col("name"), F.col("candidate"))
-    least = cutoff / (200 - cutoff)
-    fits = F.least(F.length(a), F.length(b)) >= F.lit(least) * F.greatest(F.length(a), F.length(b))
-    scored = names.select("name").distinct().join(known, fits).withColumn("score", indel_score(a, b)).where(F.col("score") >= cutoff)
+    """For each distinct `name`, the best `candidate` with at least the cutoff; ties go to the smaller `ord`.
+
+    Candidates meet names by an equi-join. A score of 80 or more leaves a pair of neighbouring characters in common (an insertion breaks one
+    at most, a deletion two), so they are joined on these; below that they are joined on the lengths that can reach the cutoff."""
+    names, least = names.select("name").distinct(), cutoff / (200 - cutoff)
+    form = sorted_tokens if by_tokens else (lambda x: x)
+    left = names.select("name", form(F.col("name")).alias("a")).where("length(a) > 0")
+    right = known.select("candidate", "ord", form(F.col("candidate")).alias("b")).where("length(b) > 0")
+    if cutoff >= 80:
+        met = left.withColumn("k", F.explode(_grams(F.col("a")))).join(right.withColumn("k", F.explode(_grams(F.col("b")))), "k")
+    else:
+        met = left.withColumn("k", F.explode(_lengths(F.col("a"), least))).join(right.withColumn("k", F.length("b")), "k")
+    fits = F.least(F.length("a"), F.length("b")) >= F.lit(least) * F.greatest(F.length("a"), F.length("b"))
+    pairs = met.where(fits).select("name", "a", "candidate", "b", "ord").distinct()
+    scored = pairs.withColumn("score", indel_score(F.col("a"), F.col("b"))).where(F.col("score") >= cutoff)
     return latest(scored, "name", [F.desc("score"), F.col("ord")], 1).select("name", "candidate", "score")
 
 
-def resolve(props: DataFrame, players: DataFrame) -> DataFrame:
-    """props (prop_id, name, team) to players (player_id, name, team, ord): exact name, then the best name of 85 or more, then the best of 70 or
-    more by sorted tokens if a player of that name is in the team. Of players of one name, the prop's team goes first, then the lowest ord."""
+def resolve(props: DataFrame, players: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
+    """prop_id, player_id and tier of the props (prop_id, name, team, team_options) that name a player (player_id, name, team, ord).
+
+    Both sides' names are made canonical, and a prop's goes through the aliases. Tier 1 is the exact name, tier 2 the best name of 85 or more,
+    tier 3 the best name of 70 or more by sorted tokens, if a player of that name is in a team that the prop names. Of several players of one
+    name, those of a named team go first, then the lowest ord. Only distinct names that the tier before has not found are scored."""
+    props = props.select("prop_id", aliased(canonical_name(F.col("name")), aliases).alias("name"), teams_wanted(F.col("team"), F.col("team_options")).alias("wanted"))
+    players = players.select("player_id", canonical_name(F.col("name")).alias("candidate"), F.col("team").alias("p_team"), "ord")
 
-    def pick(pairs: DataFrame, tier: int, same_team_only: bool = False) -> DataFrame:
-        met = pairs.join(players.withColumnsRenamed({"name": "candidate", "team": "p_team"}), "candidate").withColumn("same", F.coalesce(F.col("team") == F.col("p_team"), F.lit(False)))
-        met = met.where("same") if same_team_only else met
+    def pick(pairs: DataFrame, tier: int, team_only: bool = False) -> DataFrame:
+        met = pairs.join(players, "candidate").withColumn("same", F.coalesce(F.array_contains("wanted", F.col("p_team")), F.lit(False)))
+        met = met.where("same") if team_only else met
         return latest(met, "prop_id", [F.col("same").desc(), F.col("ord")], 1).select("prop_id", "player_id", F.lit(tier).alias("tier"))
 
-    known = players.groupBy(F.col("name").alias("candidate")).agg(F.min("ord").alias("ord"))
+    known = players.groupBy("candidate").agg(F.min("ord").alias("ord"))
+    # the exact name, then the fuzzy ones, of each distinct name: a name that has one tier never comes to the next
+    names = props.select("name").distinct().join(known.select(F.col("candidate").alias("name"), F.lit(True).alias("exact")), "name", "left")
+    unknown = names.where("exact is null")
+    near = best_match(unknown, known, 85.0)
+    loose = best_match(unknown.join(near, "name", "left_anti"), known, 70.0, by_tokens=True)
     exact = pick(props.withColumn("candidate", F.col("name")), 1)
-    left = props.join(exact, "prop_id", "left_anti")
-    near = pick(left.join(best_match(left, known, 85.0), "name"), 2)
-    left = left.join(near, "prop_id", "left_anti")
-    return exact.union(near).union(pick(left.join(best_match(left, known, 70.0, by_tokens=True), "name"), 3, same_team_only=True))
+    return exact.union(pick(props.join(near, "name"), 2)).union(pick(props.join(loose, "name"), 3, team_only=True))

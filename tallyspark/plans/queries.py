@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
 from tallyspark.operators import frames as O
+from tallyspark.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tallyspark.sources.tables import parquet as T
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__], ORACLES[f.__name__] = f, sql
-        return f
-
-    return add
-
-
-
 
 def day():
     return F.to_date("ts").alias("day")
@@ -49,9 +35,10 @@ def project_prune(s, d):
     return part.select([c for c in ("p_partkey", "p_name", "p_size", "p_missing") if c in part.columns])
 
 
-@query("SELECT p_partkey, coalesce(try_cast(p_name AS DOUBLE), 0.0) AS name_num, coalesce(try_cast(replace('27%', '%', '') AS INTEGER), 0) AS pct FROM part")
+@query("SELECT p_partkey, coalesce(try_cast(p_name AS DOUBLE), 0.0) AS name_num, coalesce(try_cast(replace(CASE WHEN p_size % 5 = 0 THEN p_name WHEN p_size % 7 > 0 THEN p_size || '%' END, '%', '') AS INTEGER), 0) AS pct FROM part")
 def safe_cast(s, d):
-    return T(s, d, "part").select("p_partkey", S.number_or_zero(F.col("p_name")).alias("name_num"), F.coalesce(F.replace(F.lit("27%"), F.lit("%"), F.lit("")).try_cast("int"), F.lit(0)).alias("pct"))
+    said = F.when(F.col("p_size") % 5 == 0, F.col("p_name")).when(F.col("p_size") % 7 > 0, F.concat(F.col("p_size").cast("string"), F.lit("%")))
+    return T(s, d, "part").select("p_partkey", S.number_or_zero(F.col("p_name")).alias("name_num"), F.coalesce(F.replace(said, F.lit("%"), F.lit("")).try_cast("int"), F.lit(0)).alias("pct"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity, round(l_quantity + l_tax + l_discount, 4) AS combo3, round(l_quantity + l_tax, 4) AS combo2 FROM lineitem")
@@ -145,16 +132,18 @@ def latest_n_per_key(s, d):
     return logs(s, d).select("user_id", "event_id", "rn")
 
 
-@query("SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY o_orderdate DESC, o_orderkey) AS orders, count(*) AS n FROM orders GROUP BY o_custkey")
+@query("SELECT o_custkey, string_agg(o_orderkey, ',' ORDER BY o_orderdate DESC, o_orderkey) AS orders, count(*) AS n FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) <= 35) GROUP BY o_custkey")
 def collect_nested(s, d):
-    log = F.sort_array(F.collect_list(F.struct((-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("at"), "o_orderkey")))
-    return T(s, d, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(log, lambda x: x["o_orderkey"].cast("string")), ",").alias("orders"), F.count("*").alias("n"))
+    """A customer's log: the latest 35 orders, newest first."""
+    recent = O.latest(T(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", [F.desc("o_orderdate"), F.col("o_orderkey")], 35)
+    log = F.sort_array(F.collect_list(F.struct("rn", "o_orderkey")))
+    return recent.groupBy("o_custkey").agg(F.array_join(F.transform(log, lambda x: x["o_orderkey"].cast("string")), ",").alias("orders"), F.count("*").alias("n"))
 
 
 @query("SELECT c_custkey, coalesce(n, 0) AS n_orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
 def nested_left_join(s, d):
-    log = T(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.collect_list("o_orderkey").alias("log"))
-    return T(s, d, "customer").select("c_custkey").join(log, "c_custkey", "left").select("c_custkey", F.size(F.coalesce("log", F.array().cast("array<bigint>"))).cast("long").alias("n_orders"))
+    n = T(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"))
+    return T(s, d, "customer").select("c_custkey").join(n, "c_custkey", "left").na.fill(0, ["n_orders"])
 
 
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1")
@@ -185,9 +174,9 @@ def map_lookup_default(s, d):
     return T(s, d, "orders").select("o_orderkey", F.upper(F.coalesce(F.try_element_at(known, "o_orderpriority"), "o_orderpriority")).alias("stat"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(replace(replace(regexp_replace(strip_accents(lower(trim(substr(text, 1, 60)))), '[^\x00-\x7F]', '', 'g'), '.', ''), '''', ''), '\b(jr|sr|ii|iii|iv|v)\b', '', 'g')) AS name FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(replace(replace(regexp_replace(strip_accents(lower(trim(text))), '[^\x00-\x7F]', '', 'g'), '.', ''), '''', ''), '\b(jr|sr|ii|iii|iv|v)\b', '', 'g')) AS name FROM documents""")
 def name_normalize(s, d):
-    return T(s, d, "documents").select("doc_id", S.canonical_name(F.substring("text", 1, 60)).alias("name"))
+    return T(s, d, "documents").select("doc_id", S.canonical_name(F.col("text")).alias("name"))
 
 
 @query("SELECT p_partkey, lower(trim(p_name)) || ' jr' AS name FROM part")
@@ -354,3 +343,6 @@ def player_feed(s, d):
     form = logs(s, d).groupBy(F.col("user_id").alias("c_custkey")).agg(F.count("*").alias("games"), hits, F.round(F.avg(F.when(F.col("rn") <= 5, F.col("value"))), 3).alias("last5"))
     orders = T(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"))
     return T(s, d, "customer").select("c_custkey", "c_name").join(form, "c_custkey").join(orders, "c_custkey", "left")
+
+
+from tallyspark.plans import charts, feed, matching, odds, schedule  # noqa: E402, F401
