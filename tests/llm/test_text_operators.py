@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import random
 import struct
 import zlib
 
@@ -45,6 +46,25 @@ def test_byte_bpe(spark, docs):
     back = byte_bpe.decode(byte_bpe.encode(docs, BPE), BPE).collect()
     assert by_count((r["doc_id"], bytes(r["bytes"])) for r in back) == by_count((i, (t or "").encode()) for i, t, _ in ROWS)
     assert byte_bpe.round_trip(docs.limit(0), BPE).count() == 0
+    # words of any length, and a text of over 2 MiB
+    rng = random.Random(3)
+    letters = lambda n, of: "".join(rng.choice(of) for _ in range(n))
+    texts = ["x" * 255, "x" * 256, "ab" * 150 + " " + "a" * 301, letters(700, "abc"), letters(2500, "etaoinshrdlu"), letters(5000, "etaoin"), " " * 900 + "a", "é" * 400, "!?" * 300, "don't  stop\n\n now. ok, ,x \u3000y", "a\0b c", letters(4096, "ab"), " word " * 3, "word, word. Ünï, 漢字 ٣٤ x1,", LONG * 20_000]
+    many = spark.createDataFrame([(k, t, 1, "x") for k, t in enumerate(texts)], "doc_id long, text string, ids int, n_tokens string")
+    ids = [want.encode_ordinary(t) for t in texts]
+    assert by_count(byte_bpe.round_trip(many, BPE).collect()) == by_count((i, len(k), sha(",".join(map(str, k)).encode()), sha(texts[i].encode())) for i, k in enumerate(ids))
+    assert {r["doc_id"]: r["ids"] for r in byte_bpe.encode(many.where("doc_id < 14"), BPE).collect()} == dict(enumerate(ids[:14]))
+
+
+def test_contract_all_is_the_same():
+    """Contracting all places of a pair in a turn gives what one place at a time gives."""
+    rng = random.Random(4)
+    coder = byte_bpe.ByteBpe(BPE, public_tokenizers.PATTERN)
+    for of in ("ab", "aab", "etaoinshr", "0", "the qui"):
+        words = ["".join(rng.choice(of) for _ in range(n)) for n in (256, 300, 411, 2, 30, 255)]
+        size, ids = coder.contract(pa.array(words, pa.large_string()))
+        want = [coder.contract_long(w.encode()) for w in words]
+        assert size.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
 
 
 def test_exact_topk(spark):
