@@ -43,7 +43,7 @@ SEGMENTS = 64
 #: The table of frequent shingles: buckets, and documents in the sample that it is made from.
 HOT_BUCKETS, HOT_SAMPLE = 1 << 20, 20_000
 #: About so many classes of a segment are compared with all others in the second round; a part of a segment has about so many classes.
-FEW, PART = 64, 4096
+FEW, PART = 64, 1024
 #: Bytes of the folded sketch that goes with a class into every segment.
 FOLD = 128
 
