@@ -18,6 +18,8 @@ SLICE_BYTES = 2 << 20
 #: Bytes in an Arrow batch: the texts of a batch are in a Python worker's memory together.
 BATCH_BYTES = 8 << 20
 
+#: Bounds of a labelled sample: rows, and values of the label.
+SAMPLE, MAX_LABELS = 20_000, 4096
 #: Removes the shuffle files of a query as soon as it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -177,12 +179,29 @@ def bucket(column: Column | str, n: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where: Column, per_class: int, max_chars: int) -> pd.DataFrame:
     """A bounded sample for fitting: for each value of `label`, the `per_class` rows of least hash whose text has 1 to `max_chars`
-    characters. `labels` has doc_id and `label`; rows where either is null, or where `where` fails, are left out."""
+    characters; fewer of each where they would be more than `SAMPLE` together. `labels` has doc_id and `label`; rows where either is null, or
+    where `where` fails, are left out. More than `MAX_LABELS` values are an error.
+
+    The rows of a label are counted by the size of their hashes, in steps of a twelfth of a power of two, which tells a bound under which just
+    over `per_class` rows lie; only these are sorted."""
     ids = labels.select("doc_id", F.col(label).alias("label")).where(where & F.col("doc_id").isNotNull() & F.col("label").isNotNull())
     short = docs.select("doc_id", F.length("text").alias("chars")).where(F.col("chars").between(1, max_chars)).select("doc_id")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.join(short, "doc_id", "left_semi").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_class).select("doc_id", "label").limit(per_class * 64)
+    hashes = F.xxhash64("doc_id")
+    share = hashes.cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    step = F.floor(F.lit(-12.0) * F.log2(F.greatest(share, F.lit(2.0**-64)))).cast("int")
+    found = materialize(ids.join(short, "doc_id", "left_semi").withColumn("step", step), "labelled")
+    steps = found.groupBy("label", "step").agg(F.count("*").alias("n"))
+    values = [r["label"] for r in steps.select("label").distinct().limit(MAX_LABELS + 1).collect()]
+    if len(values) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} values of {label}")
+    per_class = max(1, min(per_class, SAMPLE // max(1, len(values))))
+    below = F.sum("n").over(Window.partitionBy("label").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1))
+    # a row for each label
+    least = steps.withColumn("below", F.coalesce(below, F.lit(0))).where(F.col("below") < per_class).groupBy("label").agg(F.min("step").alias("least"))
+    near = found.join(F.broadcast(least), "label").where("step >= least").select("doc_id", "label")
+    order = Window.partitionBy("label").orderBy(hashes, "doc_id")
+    chosen = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_class).select("doc_id", "label")
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    # at most per_class rows for each label: small enough to broadcast and to collect
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id")
+    # SAMPLE rows at most, or one for each label
+    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(hashes, "doc_id")
     return rows.toPandas()
