@@ -1,14 +1,15 @@
 """License scans by a positional rare-token index.
 
 Templates of licence notices are indexed by their rarest words: each template's `RARE` words of highest inverse document frequency (counted
-over every document) have postings of (template, position). Of a text, the `LOOKED_UP` highest-IDF indexed words are looked up; each
-occurrence votes for a template at a relative position, and a template is taken where at least two of its words (or all, if it has one)
-agree on the position and its mandatory phrase stands at that very place. The share of the template's words that stand there is the score.
+over every document) have postings of (template, position). A text's indexed words are looked up, those of highest IDF first (all of them,
+or so many as `looked_up` says); each occurrence votes for a template at a relative position, and a template is taken where at least two of its
+words (or all, if it has one) agree on the position and its mandatory phrase stands at that very place. The share of the template's words that
+stand there is the score.
 
 Beside it, three base phrases are found wherever their words stand consecutively.
 
 Defined results: a null or empty text has 0 words, no labels (empty strings), null first_word and last_word, and score 0; repeated rows get
-a row each; a null doc_id is kept. Other columns are ignored.
+a row each; a null doc_id is kept; an empty table gives an empty result; a very long text stands in a slice of its own. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import bounds, filled, slices, small_batches, table, words
 
 RARE = 4
-LOOKED_UP = 12
 #: The phrases that are always looked for, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: Label, words of the notice, mandatory phrase in it.
@@ -113,7 +113,7 @@ def base_places(word: np.ndarray, row: np.ndarray, phrase: list[int]) -> np.ndar
     return np.flatnonzero(hit)
 
 
-def scan(text: pa.Array, index: dict) -> dict[str, list]:
+def scan(text: pa.Array, index: dict, looked_up: int | None = None) -> dict[str, list]:
     """Every column of the result for each text."""
     n = len(text)
     code, row, vocab = license_words(text)
@@ -131,7 +131,7 @@ def scan(text: pa.Array, index: dict) -> dict[str, list]:
     np.minimum.at(first, row[found], found - at[row[found]])
     np.maximum.at(last, row[found], found - at[row[found]])
     labels, score = [set(x) for x in base], np.zeros(n)
-    for r, t, share in aligned(word, row, at, index):
+    for r, t, share in aligned(word, row, at, index, looked_up):
         labels[r].add(TEMPLATES[t][0])
         score[r] = max(score[r], share)
     return {
@@ -140,7 +140,7 @@ def scan(text: pa.Array, index: dict) -> dict[str, list]:
     }
 
 
-def aligned(word: np.ndarray, row: np.ndarray, at: np.ndarray, index: dict):
+def aligned(word: np.ndarray, row: np.ndarray, at: np.ndarray, index: dict, looked_up: int | None = None):
     """Of each text, the templates that its rare words place and whose mandatory phrase stands there: text, template, share of words."""
     idf, posts = index["idf"], index["posts"]
     indexed = np.zeros(len(VOCABULARY) + 1, bool)
@@ -148,13 +148,13 @@ def aligned(word: np.ndarray, row: np.ndarray, at: np.ndarray, index: dict):
     place = np.flatnonzero(indexed[word])  # -1 is the last, which is not indexed
     if not len(place):
         return
-    # the LOOKED_UP rarest distinct words of each text
-    pairs = np.unique(row[place] * len(VOCABULARY) + word[place])
-    of, which = pairs // len(VOCABULARY), pairs % len(VOCABULARY)
-    order = np.lexsort((which, -idf[which], of))
-    nth = np.arange(len(order)) - np.searchsorted(of, of[order])
-    looked = np.sort(pairs[order[nth < LOOKED_UP]])
-    place = place[np.isin(row[place] * len(VOCABULARY) + word[place], looked)]
+    if looked_up is not None:  # only the rarest distinct words of each text
+        pairs = np.unique(row[place] * len(VOCABULARY) + word[place])
+        of, which = pairs // len(VOCABULARY), pairs % len(VOCABULARY)
+        order = np.lexsort((which, -idf[which], of))
+        nth = np.arange(len(order)) - np.searchsorted(of, of[order])
+        looked = np.sort(pairs[order[nth < looked_up]])
+        place = place[np.isin(row[place] * len(VOCABULARY) + word[place], looked)]
     lo, hi = np.searchsorted(posts[:, 0], word[place]), np.searchsorted(posts[:, 0], word[place], side="right")
     many = hi - lo
     hit = np.repeat(place, many)
