@@ -7,9 +7,13 @@ packets are single tokens, and the credits after any number of tokens have a clo
 many tokens of every queue come before it, without going through the windows before: no state passes between tasks, and deficits carry
 over across windows and partitions alike. Every task cuts its own documents; only the queues' totals meet.
 
-Defined results: a null text is an empty one, and a document always has its end id; a null source shares the queue of the empty one, and
-sources after the `MAX_QUEUES` - 1 largest share one queue; repeated rows are packed one by one; a null doc_id is kept; an empty table gives
-no piece. Other columns are ignored.
+Target proportions are those of the sources' tokens, or `weights` by source. Sources without a given weight share what the given ones leave of
+1, in proportion to their tokens; where nothing is left for them, that is an error. A source with a given weight has a queue of its own, as
+have the largest others; where there are more than `MAX_QUEUES`, the rest share one queue, whose weight is the sum of theirs.
+
+Defined results: a null text is an empty one, and a document always has its end id; a null source shares the queue of the empty one; repeated
+rows are packed one by one; a null doc_id is kept; an empty table gives no piece; a very long text stands in a slice of its own. Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -147,18 +151,33 @@ class Mixture:
         return {k: v[length > 0] for k, v in out.items()}
 
 
+def shares(sources: list[str | None], size: np.ndarray, weights: dict[str, float]) -> np.ndarray:
+    """The weight of each queue: as given, or a part of what is left of 1, in proportion to its tokens."""
+    free = np.array([s not in weights for s in sources], bool)
+    rest = 1 - sum(weights.values())
+    if weights and free.any() and rest <= 0:
+        raise ValueError("weights leave nothing for: " + ", ".join(str(s) for s, f in zip(sources, free, strict=True) if f))
+    out = size * (rest / max(1, size[free].sum()))
+    out[~free] = [weights[s] for s, f in zip(sources, free, strict=True) if not f]
+    return out
+
+
 def pack(docs: DataFrame, path: str, weights: dict[str, float] | None = None, window: int = WINDOW, max_queues: int = MAX_QUEUES, end: int = END) -> DataFrame:
-    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue. `weights`: the target proportions by
-    source; by default each source's share of all tokens, so that every window has the corpus's own mixture to the end."""
+    """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue. `weights`: the target proportions of
+    some or all sources; by default each source's share of all tokens, so that every window has the corpus's own mixture to the end."""
     rows = materialize(tokenized(docs, path, end), "tokens")
     blocks = materialize(rows.groupBy("source", "part").agg(F.sum("n").alias("tokens")), "blocks")
-    totals = blocks.groupBy("source").agg(F.sum("tokens").alias("tokens")).orderBy(F.desc("tokens"), "source")
-    large = totals.limit(max_queues - 1).collect()
+    given = weights or {}
+    if len(given) >= max_queues or any(not w > 0 for w in given.values()):
+        raise ValueError("weights must be over 0, and of fewer sources than there are queues")
+    totals = blocks.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    wanted = F.col("source").isin(list(given))
+    named_first = totals.where(wanted).orderBy("source").collect() if given else []
+    large = named_first + totals.where(~wanted if given else F.lit(True)).orderBy(F.desc("tokens"), "source").limit(max_queues - 1 - len(named_first)).collect()
     every = blocks.agg(F.sum("tokens").alias("n"), F.count("*").alias("blocks")).first()
     left = (every["n"] or 0) - sum(r["tokens"] for r in large)
     size = np.array([r["tokens"] for r in large] + [left] * (left > 0), np.int64)
-    rest = weights.get("", 1.0) if weights else None
-    share = np.array([weights.get(r["source"], rest) for r in large] + [rest] * (left > 0)) if weights else size / max(1, size.sum())
+    share = shares([r["source"] for r in large] + [None] * (left > 0), size, given)
     mixture = Mixture(size, share, window)
     queue_of = docs.sparkSession.createDataFrame([(r["source"], k) for k, r in enumerate(large)], "source string, queue int")
     # at most max_queues rows
