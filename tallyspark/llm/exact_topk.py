@@ -5,9 +5,12 @@ has its candidates sorted by component; a query reads all lists from their bette
 when no unread candidate can beat its kth score: the bound is the inner product of the query with the components last read. The groups'
 results are merged by rank.
 
-Defined results: a vector that is null, or holds a null or non-finite component, takes no part; exact repeats of a row count once; rows that share
-a vec_id but not the vector are queries and candidates of their own, and none is a candidate of its own id; a vector only meets those of its
-length; ties go to the smaller vec_id. Empty tables give an empty result. Scores must fit a long.
+Scores and bounds are whole numbers, exact at any size: doubles where all products fit 53 bits, longs up to 62, Python's numbers beyond.
+
+Defined results: a vector that is null, or holds a null or non-finite component, takes no part; a repeated row is a candidate each time, and is
+asked once; rows that share a vec_id but not the vector are queries and candidates of their own, and none is a candidate of its own id; a
+vector only meets those of its length; ties go to the smaller vec_id. Empty tables give an empty result; other columns are ignored. A score
+that does not fit a long is an error.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ class SortedLists:
         n, dims = self.vectors.shape
         rising = query < 0  # a negative weight is best served by the smallest components
         use = np.flatnonzero(query)
-        seen, scores, met, depth, read = self.ids == own, np.full(n, -np.inf), np.zeros(0, int), FIRST_DEPTH, 0
+        seen, scores, met, depth, read = self.ids == own, np.zeros(n, self.vectors.dtype), np.zeros(0, int), FIRST_DEPTH, 0
         while True:
             depth = min(depth, n)
             # sorted access: from `read` to `depth` in each list that matters
@@ -49,7 +52,7 @@ class SortedLists:
             scores[new] = self.vectors[new] @ query  # random access
             met = np.concatenate([met, new])
             if len(met) > k:
-                kth = -np.partition(-scores[met], k - 1)[k - 1]
+                kth = np.sort(scores[met])[-k]
                 met = met[scores[met] >= kth]
             if seen.all() or depth == n:
                 break
@@ -69,19 +72,27 @@ def first_copies(ids: np.ndarray, vectors: np.ndarray, keep: int) -> np.ndarray:
     return order[np.arange(len(order)) - np.searchsorted(sorted_which, sorted_which) < keep]
 
 
+def exact_dtype(a: np.ndarray, b: np.ndarray):
+    """The fastest type in which the inner products of two sets of whole numbers are exact."""
+    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[-1])
+    return float if most < 2.0**53 else np.int64 if most < 2.0**62 and max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) < 2.0**62 else object
+
+
+def as_type(x: np.ndarray, kind) -> np.ndarray:
+    return np.vectorize(int, otypes=[object])(x) if kind is object and x.size else x.astype(kind)
+
+
 def search_block(cands: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     out = {"query_id": [], "query_key": [], "vec_id": [], "score": []}
     if len(cands) and len(queries):
-        ids, vectors = cands["vec_id"].to_numpy(np.int64), np.stack(cands["v"].to_numpy()).astype(float)
+        ids, vectors, asked = cands["vec_id"].to_numpy(np.int64), np.stack(cands["v"].to_numpy()).astype(float), np.stack(queries["v"].to_numpy()).astype(float)
+        kind = exact_dtype(vectors, asked)
         pick = first_copies(ids, vectors, k + 1)
-        lists = SortedLists(ids[pick], vectors[pick])
-        exact = float(np.abs(vectors).max(initial=0)) * float(max(np.abs(q).max(initial=0) for q in queries["v"])) * vectors.shape[1] < 2.0**53
-        for own, key, q in zip(queries["vec_id"], queries["key"], queries["v"], strict=True):
-            best = lists.top(own, np.asarray(q, float), k)
-            for p in best:
-                score = lists.vectors[p] @ q if exact else sum(int(a) * int(b) for a, b in zip(lists.vectors[p], q, strict=True))
-                for name, value in zip(out, (own, key, lists.ids[p], int(score)), strict=True):
-                    out[name].append(value)
+        lists, copies = SortedLists(ids[pick], as_type(vectors[pick], kind)), np.minimum(cands["copies"].to_numpy(np.int64)[pick], k).tolist()
+        for own, key, q in zip(queries["vec_id"], queries["key"], as_type(asked, kind), strict=True):
+            for p in lists.top(own, q, k):
+                for name, value in zip(out, (own, key, lists.ids[p], int(lists.vectors[p] @ q)), strict=True):
+                    out[name] += [value] * copies[p]
     return pd.DataFrame({name: np.array(x, np.int64) for name, x in out.items()})
 
 
@@ -90,13 +101,14 @@ def search(vectors: DataFrame, is_query, k: int = K, scale: int = 256, candidate
     small_batches(vectors.sparkSession)
     whole = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != F.lit(float("inf"))))
-    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & good).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")).distinct()
-    rows = materialize(rows.withColumns({"key": F.xxhash64("vec_id", "v"), "size": F.size("v"), "asks": F.coalesce(is_query, F.lit(False))}), "vectors")
+    rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & good).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = rows.groupBy("vec_id", "v", "asks").agg(F.count("*").alias("copies"))
+    rows = materialize(rows.withColumns({"key": F.xxhash64("vec_id", "v"), "size": F.size("v")}), "vectors")
     counts = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("asks").cast("int")), F.lit(0)).alias("q")).first()
     n_c, n_q = max(1, -(-counts["n"] // candidates)), max(1, -(-counts["q"] // queries))
     spread = lambda n: F.pmod(F.col("key"), F.lit(n).cast("long"))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    cands = rows.select("size", spread(n_c).alias("c"), every(n_q).alias("q"), "vec_id", "v")
+    cands = rows.select("size", spread(n_c).alias("c"), every(n_q).alias("q"), "vec_id", "copies", "v")
     asked = rows.where("asks").select("size", every(n_c).alias("c"), spread(n_q).alias("q"), "vec_id", "key", "v")
     by = ["size", "c", "q"]
     best = cands.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(lambda a, b: search_block(a, b, k), "query_id long, query_key long, vec_id long, score long")
@@ -114,7 +126,7 @@ WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM (SELECT DISTINCT vec_id, v FROM v) q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
 ), r AS (
     SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
 )
