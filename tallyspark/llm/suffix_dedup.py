@@ -249,8 +249,8 @@ def cut_bytes(text: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, i
 def places(docs: DataFrame) -> DataFrame:
     """docs with `place`, its number in the order of doc_id; doc_id itself where it is unique and small enough."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    stats = ids.groupBy("doc_id").count().agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("count").alias("most"), F.coalesce(F.max(F.col("doc_id").isNull()), F.lit(False)).alias("nulls")).first()
-    if stats["low"] is None or (not stats["nulls"] and stats["most"] == 1 and stats["low"] >= 0 and stats["high"] < 1 << PLACE_BITS):
+    stats = ids.groupBy("doc_id").count().agg(F.count("*").alias("ids"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.max("count").alias("most"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
+    if not stats["ids"] or (not stats["nulls"] and stats["most"] == 1 and stats["low"] >= 0 and stats["high"] < 1 << PLACE_BITS):
         return docs.withColumn("place", F.col("doc_id").cast("long"))
     # sort by range, number within each range, and add the sizes of the ranges before
     kept = materialize(docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).withColumn("mono", F.monotonically_increasing_id()), "sorted")
@@ -284,12 +284,13 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also what is left of the text (a cut character goes), and every
     other column of docs under its name."""
     small_batches(docs.sparkSession)
-    placed = places(docs)
-    listed = repeated_starts(placed).groupBy("place").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     rest = [c for c in docs.columns if c != "text"] if keep_text else ["doc_id"]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     extra = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    together = placed.select("place", "text", *(F.col(c).alias(f"_{c}") for c in rest)).join(listed.hint("shuffle_hash"), "place", "left").drop("place")
+    # other columns get names that none of those made here has
+    placed = places(docs.select("doc_id", "text", *(F.col(f"`{c}`").alias(f"_{c}") for c in rest)))
+    listed = repeated_starts(placed).groupBy("place").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
+    together = placed.select("place", "text", *(f"`_{c}`" for c in rest)).join(listed.hint("shuffle_hash"), "place", "left").drop("place")
 
     def apply(batches):
         for b in slices(batches):
@@ -300,13 +301,13 @@ def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                     out[k].append(v)
                 out["text"].append(left.decode("utf-8", "ignore"))
             cols = [b.column(f"_{c}") for c in rest] + [pa.array(out[k], pa.string() if k == "kept_sha256" else pa.int64()) for k in extra]
-            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(out["text"], pa.string())] if keep_text else [])], [*(f"_{c}" for c in rest), *(f"_{k}" if keep_text else k for k in extra), *(["text"] if keep_text else [])])
+            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(out["text"], pa.string())] if keep_text else [])], [*(f"_{c}" for c in rest), *extra, *(["text"] if keep_text else [])])
 
-    schema = ", ".join([*(f"`_{c}` {kinds[c]}" for c in rest), *(f"{'_' * keep_text}{k} {'string' if k == 'kept_sha256' else 'long'}" for k in extra), *(["text string"] * keep_text)])
+    schema = ", ".join([*(f"`_{c}` {kinds[c]}" for c in rest), *(f"{k} {'string' if k == 'kept_sha256' else 'long'}" for k in extra), *(["text string"] * keep_text)])
     out = together.mapInArrow(apply, schema)
     if not keep_text:
         return out.withColumnRenamed("_doc_id", "doc_id")
-    return out.select(*(F.col(f"_{c}").alias(c) if c != "text" else F.col("text") for c in docs.columns))
+    return out.select(*(F.col(f"`_{c}`").alias(c) if c != "text" else F.col("text") for c in docs.columns))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
