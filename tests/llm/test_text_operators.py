@@ -82,6 +82,25 @@ def test_exact_topk(spark):
     assert exact_topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 1 << 20, 1 << 28, 1 << 29])
+def test_exact_topk_repeats_and_large_components(spark, size):
+    """A repeated candidate counts each time, and whole numbers of any size are ranked exactly; other columns do not matter."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(size)
+    rows = [(i, [float(rng.randrange(-3, 4) * size + rng.randrange(3)) / 256 for _ in range(4)]) for i in range(60)]
+    rows += rows[7:10] + rows[:1]
+    df = spark.createDataFrame([(*r, 1, 2, 3, "k") for r in rows], "vec_id long, embedding array<double>, copies int, size int, c int, key string")
+    whole = [(i, [int(256 * x // 1) for x in v]) for i, v in rows]
+    want = []
+    for q in (0, 50):
+        v = next(v for i, v in whole if i == q)
+        best = sorted((-sum(a * b for a, b in zip(v, u)), i) for i, u in whole if i != q)[:5]
+        want += [(q, r + 1, i, -x) for r, (x, i) in enumerate(best)]
+    got = exact_topk.search(df, F.col("vec_id") % 50 == 0, candidates=16, queries=2)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("window", [64, 4096])
 def test_packing(docs, window):
     from tokenizers import Tokenizer
@@ -111,6 +130,48 @@ def test_packing(docs, window):
     assert packing.pack(docs.limit(0), WORD).count() == 0
 
 
+def test_packing_is_deficit_round_robin():
+    """The closed form serves the tokens that a queue by queue, token by token round gives: each time the queue goes next whose credit, its
+    weight of all that is served, is furthest ahead of what it has had; an empty queue drops out."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for weights in ([0.7513, 0.2487], [1.0], *(rng.random(k).tolist() for k in (2, 3, 5, 9, 30))):  # no two tokens are due at one moment
+        totals = rng.integers(0, 300, len(weights))
+        mixture = packing.Mixture(totals, np.array(weights), 64)
+        had, order = [0] * len(weights), []
+        for _ in range(totals.sum()):
+            due = [((had[k] + 0.5) / weights[k], k) for k in range(len(weights)) if had[k] < totals[k]]
+            k = min(due)[1]
+            had[k] += 1
+            order.append(k)
+        want = np.array([np.bincount(order[:n], minlength=len(weights)) for n in range(len(order) + 1)])
+        assert (mixture.served(np.arange(len(order) + 1)) == want).all()
+        # every window holds its proportions to within a token, while no queue is empty
+        whole = min((t / w for t, w in zip(totals, weights)), default=0) * sum(weights)
+        for n in range(0, int(whole) - 64, 64):
+            part = want[n + 64] - want[n]
+            assert (abs(part - 64 * np.array(weights) / sum(weights)) <= 1 + len(weights) / 2).all()
+
+
+def test_packing_weights_and_queues(spark):
+    rows = [(k, "one two three four five six seven eight", f"s{k % 3}") for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    pieces = packing.pack(df, WORD, weights={"s0": 0.75}, window=64).collect()
+    of = collections.Counter()
+    for p in pieces:
+        if p["sequence_id"] < 10:
+            of[p["doc_id"] % 3] += p["length"]
+    assert [of[k] for k in range(3)] == [480, 80, 80]
+    with pytest.raises(ValueError, match="nothing for"):
+        packing.pack(df, WORD, weights={"s0": 1.0})
+    # 300 sources in 256 queues; given weights keep queues of their own
+    many = spark.createDataFrame([(k, "a b c", f"s{k}") for k in range(300)], "doc_id long, text string, source string")
+    pieces = packing.pack(many, WORD, weights={"s299": 0.5}, window=64).collect()
+    assert sorted(p["doc_id"] for p in pieces if p["start"] == 0) == list(range(300))
+    assert len({p["queue"] for p in pieces}) == 256 and all((p["queue"] == 0) == (p["doc_id"] == 299) for p in pieces)
+
+
 def brute_dedup(rows):
     seen, out = set(), []
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
@@ -136,6 +197,19 @@ def test_suffix_dedup(docs, monkeypatch, group):
     assert suffix_dedup.dedup(docs, keep_text=True).columns == docs.columns
 
 
+def test_suffix_dedup_ids_and_names(spark):
+    nulls = [(None, LONG), (None, LONG), (None, "é" + LONG)]
+    df = spark.createDataFrame(nulls, "doc_id long, text string")
+    left = suffix_dedup.dedup(df).collect()
+    assert sum(r["n_removed"] for r in left) == sum(r[2] for r in brute_dedup(nulls).elements()) == 2 * len(LONG)
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "place", "part", "nth", "before", "mono", "ranges", "_place", "found", "first"]
+    for rows in ([(5, LONG), (7, "x" + LONG)], [(5, LONG), (5, LONG + "y"), (None, "z")]):
+        wide = spark.createDataFrame([(*r, *(f"{c}{k}" for c in names)) for k, r in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+        out = suffix_dedup.dedup(wide, keep_text=True)
+        assert out.columns == wide.columns
+        assert sorted(tuple(r)[2:] for r in out.collect()) == sorted(tuple(f"{c}{k}" for c in names) for k in range(len(rows)))
+
+
 def brute_join(rows):
     sets = []
     for i, t in rows:
@@ -222,6 +296,38 @@ def test_license_scan():
     assert out["base_labels"] == ["", "", "cc-by", "reserved", ""] and out["labels"][2] == "cc-by,cc-by-nc-4.0"
 
 
+def test_all_notices_in_one_text(spark):
+    """No notice is lost because others stand in the same text, with any frequencies of the words."""
+    text = " ... ".join(words for _, words, _ in license_scan.TEMPLATES)
+    want = sorted({label for label, _, _ in license_scan.TEMPLATES} | set(license_scan.BASE.values()))
+    df = spark.createDataFrame([(1, text, "a"), (2, None, "b"), (3, "", "c"), (4, text[::-1], "d"), (None, "Permission is hereby granted", "e")], "doc_id long, text string, labels string")
+    rows = {r["doc_id"]: r for r in license_scan.scan_licenses(df, license_scan.build_index(license_scan.document_frequency(df))).collect()}
+    assert rows[1]["labels"].split(",") == want and rows[1]["score"] == 1.0
+    assert len(rows) == 5 and rows[2]["labels"] == rows[3]["labels"] == "" and rows[4]["labels"] == ""
+    rng = random.Random(1)
+    for _ in range(5):
+        index = license_scan.build_index({w: rng.randrange(1, 50) for w in license_scan.VOCABULARY} | {"": 50})
+        assert license_scan.scan(pa.array([text]), index)["labels"] == [",".join(want)]
+    assert license_scan.scan_licenses(df.limit(0), license_scan.build_index(license_scan.document_frequency(df.limit(0)))).count() == 0
+
+
+def test_labelled_sample(spark):
+    from pyspark.sql import functions as F
+
+    from tallyspark.llm import common
+
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 > 0, F.lit("some text")).alias("text"), F.lit("x").alias("label"))
+    labels = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 7 > 0, F.concat(F.lit("l"), (F.col("id") % 90).cast("string"))).alias("lang"))
+    got = common.labelled_sample(docs, labels, "lang", F.col("doc_id") > 10, 20, 100)
+    rows = labels.where("doc_id > 10 and lang is not null and doc_id % 10 > 0").withColumn("h", F.xxhash64("doc_id")).collect()
+    want = set()
+    for label in {r["lang"] for r in rows}:
+        want |= {r["doc_id"] for r in sorted((r for r in rows if r["lang"] == label), key=lambda r: r["h"])[:20]}
+    assert set(got["doc_id"]) == want and got["label"].nunique() == 81  # a tenth of the labels has no text
+    with pytest.raises(ValueError, match="more than 4096"):
+        common.labelled_sample(docs, docs.withColumn("label", F.col("doc_id").cast("string")), "label", F.lit(True), 20, 100)
+
+
 def test_quality_rules(docs, labels):
     rows = {(r["doc_id"], r["n_words"]): r for r in quality_rules.apply_rules(docs, quality_rules.fit(docs, labels)).collect()}
     assert rows[10, 3000]["base_failed"] and not rows[10, 3000]["kept"] and rows[10, 3000]["n_repeat_words"] == 3000
@@ -230,6 +336,137 @@ def test_quality_rules(docs, labels):
     assert m["word_chars"].tolist() == [9, 0, 3] and m["n_symbols"].tolist() == [0, 0, 2]
 
 
+def test_quality_rules_brute_force(spark, labels):
+    """Counts and verdicts as plain Python gives them, over odd texts."""
+    import re
+
+    rng = random.Random(6)
+    texts = [None, "", " \n ", "a", "x y z " * 40, "# $ é|<>\n" * 3, "ein zwei\nein zwei\n\n\n ein zwei", *(" ".join(rng.choice(["ab", "cd", "é", "f#", "\n", "\t", "gh\ngh"]) for _ in range(rng.randrange(160))) for _ in range(60))]
+    df = spark.createDataFrame([(k if k % 9 else None, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    model = quality_rules.fit(df.where("doc_id is not null"), labels)
+    got = collections.Counter(tuple(r)[1:7] for r in quality_rules.apply_rules(df, model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect())
+    want = collections.Counter()
+    for t in texts:
+        t = t or ""
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+        lines, dup = set(), 0
+        for line in t.split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                dup += line in lines
+                lines.add(line)
+        count = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {i + j for i in range(len(w) - 2) if count[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        want[len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered), len(w) < 50 or 100 * len(covered) > 50 * len(w)] += 1
+    assert got == want
+
+
+def test_field_against_all_label_sequences():
+    """Forward-backward gives what summing over every sequence of labels gives."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    row = np.repeat([0, 1, 2], [4, 1, 6])
+    emit, trans = rng.normal(0, 2, len(row)), rng.normal(0, 1, (2, 2))
+    good, pair = line_quality.marginals(emit, trans, row)
+    want, pairs = np.zeros(len(row)), np.zeros((2, 2))
+    for r in range(3):
+        at = np.flatnonzero(row == r)
+        seqs = [np.array(y) for y in itertools.product((0, 1), repeat=len(at))]
+        p = np.exp([emit[at] @ y + trans[y[:-1], y[1:]].sum() for y in seqs])
+        p /= p.sum()
+        for y, q in zip(seqs, p):
+            want[at] += q * y
+            np.add.at(pairs, (y[:-1], y[1:]), q)
+    assert np.allclose(good, want) and np.allclose(pair, pairs)
+
+
+def test_recurrent_layer_gradients(monkeypatch):
+    """Back-propagation through time against finite differences, with sequences that end early; inference gives the same states."""
+    import numpy as np
+
+    from tallyspark.llm import gru
+
+    rng = np.random.default_rng(1)
+    steps, n, h = 5, 3, 4
+    gates, u, mask = rng.normal(0, 1, (steps, n, 3 * h)), rng.normal(0, 0.5, (h, 3 * h)), np.arange(steps)[:, None] < np.array([5, 3, 0])
+    pull = rng.normal(0, 1, (steps, n, h))
+    loss = lambda: float((gru.forward(gates.astype(np.float32), u.astype(np.float32), mask.astype(np.float32)) * pull).sum())
+    _, cache = gru.forward(gates.astype(np.float32), u.astype(np.float32), mask.astype(np.float32), keep=True)
+    d_gates, d_u = gru.backward(pull.astype(np.float32), cache)
+    for x, d in ((gates, d_gates), (u, d_u)):
+        for i in rng.choice(x.size, 40):
+            at, e = np.unravel_index(i, x.shape), 1e-2
+            was, x[at] = x[at], x[at] + e
+            up = loss()
+            x[at] = was - e
+            down = loss()
+            x[at] = was
+            assert abs((up - down) / (2 * e) - d[at]) < 2e-2
+    table = gru.held(gates.reshape(-1, 3 * h))
+    codes = np.where(mask, np.arange(steps * n).reshape(steps, n), len(table) - 1)
+    want = gru.forward(gates.astype(np.float32), u.astype(np.float32), mask.astype(np.float32))
+    assert np.allclose(gru.run(table, u.astype(np.float32), codes)[:, :2], want[:, :2], atol=1e-5)
+
+
+@pytest.mark.parametrize("module", [toxicity, language_id])
+def test_network_gradients(monkeypatch, module):
+    """The whole networks' gradients, as the first learning step gives them, against finite differences of the loss that they are of."""
+    import numpy as np
+
+    from tallyspark.llm import gru
+
+    seen = {}
+
+    class Kept(gru.Adam):
+        def step(self, grads):
+            seen.setdefault("p", {k: v.copy() for k, v in self.params.items()})
+            seen.setdefault("g", grads)
+
+    monkeypatch.setattr(gru, "Adam", Kept)
+    if module is language_id:
+        texts, labels = ["abc ab", "xyz zy"], ["a", "b"]
+        language_id.train(texts, labels, steps=1, runs=2)
+
+        def loss(p):
+            tagger = language_id.ByteTagger(["a", "b"], p)
+            spans, _ = language_id.cut(*language_id.utf8(pa.array(texts)))
+            probs = tagger.position_probs(spans)
+            inside = spans.T != language_id.PAD
+            return -sum(np.log(probs[:, k, k][inside[:, k]]).sum() for k in (0, 1)) / inside.sum()
+    else:
+        monkeypatch.setattr(toxicity, "DROPPED", 0.0)
+        monkeypatch.setattr(toxicity, "DECAY", 0.0)
+        texts = ["aa bb cc", "dd ee ff gg"] * 4
+        toxicity.train(texts, [0, 1] * 4, steps=1, batch=2)
+
+        def loss(p):
+            logit, _ = toxicity.WindowScorer(p, sorted_frequent([x for k, x in enumerate(texts) if k % 4 < 3])).logits(pa.array(texts[:2]))
+            return -(np.log(gru.sigmoid(-logit[0])) + np.log(gru.sigmoid(logit[1]))) / 2
+
+    rng = np.random.default_rng(0)
+    for k, g in seen["g"].items():
+        p = {n: v.astype(np.float64) for n, v in seen["p"].items()}
+        for i in rng.choice(g.size, min(6, g.size), replace=False):
+            at, e = np.unravel_index(i, g.shape), 2e-2
+            was = p[k][at]
+            p[k][at] = was + e
+            up = loss(p)
+            p[k][at] = was - e
+            down = loss(p)
+            p[k][at] = was
+            assert abs((up - down) / (2 * e) - g[at]) < 2e-3 + 0.05 * abs(g[at]), (k, at)
+
+
+def sorted_frequent(texts):
+    import numpy as np
+
+    code, row, vocab = toxicity.pieces(pa.array(texts))
+    held = np.bincount(np.unique(row * len(vocab) + code) % len(vocab), minlength=len(vocab))
+    return vocab.filter(pa.array(held >= toxicity.LEAST_DOCS)).to_pylist()
+
+
 def test_scores(docs, labels):
     for module, model in ((toxicity, toxicity.fit(docs, labels)), (line_quality, line_quality.fit(docs, labels)), (toxicity, None), (line_quality, None)):
         rows = module.predict(docs, model).collect()
