@@ -14,6 +14,8 @@ a row each; a null doc_id is kept; an empty table gives an empty result; a very
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,26 +27,64 @@ from tallyspark.llm.common import bounds, filled, slices, small_batches, table,
 RARE = 4
 #: The phrases that are always looked for, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Label, words of the notice, mandatory phrase in it.
-TEMPLATES = [
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
-    ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2"),
-    ("gpl-2.0", "licensed under the gnu general public license version 2", "general public license version 2"),
-    ("gpl-3.0", "licensed under the gnu general public license version 3", "general public license version 3"),
-    ("lgpl", "licensed under the gnu lesser general public license", "lesser general public license"),
-    ("agpl-3.0", "licensed under the gnu affero general public license version 3", "affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose", "copy modify and or distribute"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
-    ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-nd-4.0", "licensed under cc by nd 4 0", "cc by nd"),
+#: Label, text of a licence, of its header or of a short notice, and the phrase in it without which it does not count.
+TEXTS = [
+    ("mit", "released under the MIT License", "MIT License"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction,
+        including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+        subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.""", "hereby granted, free of charge"),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice
+        appear in all copies.""", "copy, modify, and/or distribute"),
+    ("0bsd", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\"", "fee is hereby granted. THE SOFTWARE"),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain
+        the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+        disclaimer in the documentation and/or other materials provided with the distribution.""", "source and binary forms"),
+    ("bsd-3-clause", """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written
+        permission.""", "endorse or promote products"),
+    ("apache-2.0", "licensed under the Apache License version 2.0", "Apache License version 2"),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
+        CONDITIONS OF ANY KIND, either express or implied.""", "Apache License, Version 2"),
+    ("gpl-2.0", "licensed under the GNU General Public License version 2", "General Public License version 2"),
+    ("gpl-3.0", "licensed under the GNU General Public License version 3", "General Public License version 3"),
+    ("gpl-2.0", """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of
+        the License, or (at your option) any later version.""", "Free Software Foundation; either version 2 of"),
+    ("gpl-3.0", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of
+        the License, or (at your option) any later version.""", "Free Software Foundation, either version 3 of"),
+    ("lgpl", "licensed under the GNU Lesser General Public License", "Lesser General Public License"),
+    ("lgpl", """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software
+        Foundation""", "GNU Lesser General Public License as published"),
+    ("agpl-3.0", "licensed under the GNU Affero General Public License version 3", "Affero General Public License"),
+    ("agpl-3.0", """it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License""", "GNU Affero General Public License as published"),
+    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", "Mozilla Public License"),
+    ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+        http://mozilla.org/MPL/2.0/.""", "Mozilla Public License, v. 2.0"),
+    ("epl-2.0", "made available under the terms of the Eclipse Public License 2.0", "Eclipse Public License 2.0"),
+    ("bsl-1.0", "Distributed under the Boost Software License, Version 1.0.", "Boost Software License"),
+    ("zlib", """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is
+        granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely""", "alter it and redistribute it freely"),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code
+        form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""", "unencumbered software"),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "waived all copyright and related or neighboring rights"),
+    ("cc-by-4.0", "licensed under CC BY 4.0", "CC BY 4.0"),
+    ("cc-by-sa-4.0", "licensed under CC BY-SA 4.0", "CC BY-SA"),
+    ("cc-by-nc-4.0", "licensed under CC BY-NC 4.0", "CC BY-NC"),
+    ("cc-by-nd-4.0", "licensed under CC BY-ND 4.0", "CC BY-ND"),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0"),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "Attribution-ShareAlike 4.0"),
+    ("cc-by-nc-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "Attribution-NonCommercial 4.0"),
     ("proprietary", "all rights reserved", "all rights reserved"),
-]
-VOCABULARY = sorted({w for _, words_, _ in TEMPLATES for w in words_.split()})
+]
+
+
+def plain_words(text: str) -> str:
+    """The words of a text as license_words() takes them, for ASCII text."""
+    return " ".join(re.findall("[0-9a-z]+", text.lower()))
+
+
+#: Label, words of the text, mandatory phrase in it.
+TEMPLATES = [(label, plain_words(text), plain_words(must)) for label, text, must in TEXTS]
+VOCABULARY = sorted({w for _, text, _ in TEMPLATES for w in text.split()})
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32

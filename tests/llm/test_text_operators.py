@@ -298,7 +298,8 @@ def test_license_scan():
 
 def test_all_notices_in_one_text(spark):
     """No notice is lost because others stand in the same text, with any frequencies of the words."""
-    text = " ... ".join(words for _, words, _ in license_scan.TEMPLATES)
+    text = " ... ".join(text for _, text, _ in license_scan.TEXTS)
+    assert all(must in words for _, words, must in license_scan.TEMPLATES)
     want = sorted({label for label, _, _ in license_scan.TEMPLATES} | set(license_scan.BASE.values()))
     df = spark.createDataFrame([(1, text, "a"), (2, None, "b"), (3, "", "c"), (4, text[::-1], "d"), (None, "Permission is hereby granted", "e")], "doc_id long, text string, labels string")
     rows = {r["doc_id"]: r for r in license_scan.scan_licenses(df, license_scan.build_index(license_scan.document_frequency(df))).collect()}
