@@ -1,7 +1,7 @@
 """Suffix-array dedup: remove every byte of a 100-byte string that also starts earlier in the corpus.
 
-Prefix doubling ranks positions by ever longer prefixes, drops those whose rank is unique, and ends at the threshold. Here the first ranks are
-those of `GRAM`-byte prefixes, and only of anchors: the position of least hash among the 69 that start a GRAM-byte string inside a 100-byte
+Prefix doubling ranks positions by ever longer prefixes, drops those whose rank is unique, and ends at the threshold (starts_by_doubling() does
+this with every byte). Here the first ranks are those of `GRAM`-byte prefixes, and only of anchors: the position of least hash among the 69 that start a GRAM-byte string inside a 100-byte
 string. Equal 100-byte strings have equal anchors, so a start whose anchor's rank is unique is unique itself, and anchors are about one
 position in 35. Spark sorts the (rank, position) pairs and drops the unique; the starts of the others get their rank at 100 bytes, from the
 ranks (hashes) of their parts at offsets 0, 64 and 96, and are sorted again within their first rank: each but the first of a rank is a repeat.
@@ -11,7 +11,8 @@ Hot anchors: within a slice of a task's texts, an anchor with the very surroundi
 more than `GROUP` anchors is split into groups of so many; what is first in its group meets the other groups' firsts by its 100-byte rank.
 
 Documents are in the order of doc_id (nulls first; rows that share one by their text's hash). Defined results: a null text is an empty one;
-repeated rows get a row each, and one of them counts as the earlier; an empty table gives an empty result. Other columns are ignored.
+repeated rows get a row each, and one of them counts as the earlier; an empty table gives an empty result. A very long text stands in a slice of
+its own, with some 130 bytes of arrays for each of its bytes; texts of 2^30 bytes and more are an error. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ REACH = LENGTH - GRAM
 #: A position is a document's place times 2^START_BITS, and the byte's place in it.
 START_BITS = 30
 PLACE_BITS = 33
-GROUP = 4096
+GROUP = 1024
 #: Bytes that a task hashes at once: some 130 bytes of arrays for each.
 SLICE = 1 << 20
 
@@ -107,6 +108,8 @@ def anchor_rows(batches):
     an earlier one of the slice wholly; they are dealt out by position."""
     for b in slices(batches, limit=SLICE):
         raw, at = utf8(b.column("text"))
+        if np.diff(at).max(initial=0) >= 1 << START_BITS:
+            raise ValueError(f"a text of {np.diff(at).max()} bytes: positions hold less than 2^{START_BITS}")
         where, gram, first, last, cover = anchors(raw, at)
         doc = np.searchsorted(at, first, side="right") - 1
         pos = (b.column("place").to_numpy(zero_copy_only=False).astype(np.int64)[doc] << START_BITS) + first - at[doc]
@@ -280,6 +283,35 @@ def repeated_starts(docs: DataFrame) -> DataFrame:
     return found.union(settled)
 
 
+def byte_rows(batches):
+    """For each byte with LENGTH bytes to its right in its text: its position, and its first four bytes as a number."""
+    for b in slices(batches, limit=SLICE):
+        raw, at = utf8(b.column("text"))
+        code = np.zeros(len(raw), np.int64)
+        for k in range(4):
+            code[: len(raw) - k] |= raw[k:].astype(np.int64) << (24 - 8 * k)
+        place = b.column("place").to_numpy(zero_copy_only=False).astype(np.int64)
+        size = np.diff(at)
+        start = np.arange(len(raw)) - np.repeat(at[:-1], size)
+        yield pa.RecordBatch.from_arrays([pa.array((np.repeat(place, size) << START_BITS) + start), pa.array(code), pa.array(np.repeat(size, size) - start)], ["pos", "rank", "left"])
+
+
+def starts_by_doubling(docs: DataFrame) -> DataFrame:
+    """The positions that repeated_starts() finds, of docs with `place`, by prefix doubling over every byte: pairs of ranks at offsets 4, 8, 16, 32
+    and then 36, sorted and ranked anew, without the positions whose rank is unique. Each round shuffles each position that is left twice:
+    for comparison on small corpora."""
+    ranks, length = docs.select("place", "text").mapInArrow(byte_rows, "pos long, rank long, left long"), 4
+    while length < LENGTH:
+        step = min(length, LENGTH - length)
+        ahead = ranks.select((F.col("pos") - step).alias("pos"), F.col("rank").alias("next"))
+        met = ranks.where(F.col("left") >= length + step).join(ahead.hint("merge"), "pos").select("pos", F.xxhash64("rank", "next").alias("rank"), "left")
+        again = met.groupBy("rank").agg(F.min("pos").alias("least"), F.max("pos").alias("most")).where("least < most").select("rank")
+        length += step
+        ranks = materialize(met.join(again.hint("merge"), "rank", "left_semi"), "doubled")
+    least = ranks.groupBy("rank").agg(F.min("pos").alias("least"))
+    return ranks.join(least.hint("merge"), "rank").where("pos > least").select("pos")
+
+
 def dedup(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; with keep_text also what is left of the text (a cut character goes), and every
     other column of docs under its name."""
