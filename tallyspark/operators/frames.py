@@ -22,6 +22,14 @@ def last_write(df: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
     return latest(df, key, [order.desc()], 1).drop("rn")
 
 
+def few_values(df: DataFrame, column: str, most: int) -> list:
+    """The distinct values of a small dimension, in order; more than `most` are an error."""
+    found = [r[0] for r in df.select(column).distinct().limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"more than {most} values of {column}")
+    return sorted(found)
+
+
 def replace_by(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old without the keys that new has, and new."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)

@@ -8,6 +8,7 @@ from tallyspark.functions import scalars as S
 from tallyspark.operators import feed
 from tallyspark.operators import frames as O
 from tallyspark.plans.registry import query
+from tallyspark.sources import constants
 from tallyspark.sources.tables import parquet as T
 
 ORDERS = "(SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice, o_orderpriority, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders QUALIFY rn <= 30)"
@@ -69,3 +70,18 @@ def combo_backfill(s, d):
     rows = T(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).alias("PTS"), F.col("l_discount").alias("REB"), F.lit(None).cast("double").alias("AST"), F.when(F.col("l_linenumber") % 2 == 0, F.col("l_tax")).alias("PTS+REB"))
     out = feed.with_combos(rows)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("`PTS+REB`", 4).alias("combo"), F.round("`PTS+REB+AST`", 4).alias("made"))
+
+
+@query("SELECT n_nationkey AS game, team, team_id FROM (SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'BOS' WHEN 1 THEN 'LAL' ELSE 'XXX' END AS team FROM nation) LEFT JOIN (VALUES ('BOS', 1610612738), ('LAL', 1610612747)) t(code, team_id) ON team = code")
+def team_lookup(s, d):
+    """The id of each code from the inline table; none for an unknown one."""
+    k = F.col("n_nationkey") % 3
+    games = T(s, d, "nation").select(F.col("n_nationkey").alias("game"), F.when(k == 0, "BOS").when(k == 1, "LAL").otherwise("XXX").alias("team"))
+    return games.join(constants.team_ids(s), "team", "left").select("game", "team", "team_id")
+
+
+@query("SELECT * FROM (VALUES ('Pacers', 2, 1), ('Raptors', 2, 1), ('Grizzlies', 1, 0), ('Hawks', 2, 1), ('Magic', 1, 0)) t(team, games, over)")
+def similar_panel(s, d):
+    """Games against the line by team, from the inline rows."""
+    over = F.sum(F.when(F.col("result") > F.col("line"), 1).otherwise(0)).cast("int")
+    return constants.similar_games(s).groupBy("team").agg(F.count("*").cast("int").alias("games"), over.alias("over"))

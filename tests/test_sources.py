@@ -6,7 +6,7 @@ import pytest
 
 from tallyspark.functions import scalars as S
 from tallyspark.operators import feed, frames
-from tallyspark.sources import odds, schedule, stats, tables
+from tallyspark.sources import constants, odds, schedule, stats, tables
 
 
 def put(path, doc):
@@ -168,3 +168,11 @@ def test_feed(spark, players):
     assert docs[6]["shooting_zones"]["paint"]["makes"] == "3" and docs[6]["assist_zones"]["a"]["makes"] == "2" and docs[1]["shooting_zones"] is None
     assert {b: (p["line"], p["over"]) for b, p in docs[7]["props"]["PTS"].items()} == {"dk": (22.5, 105), "fd": (21.5, 1)} and docs[1]["props"] == {}
     assert feed.build(season.limit(0), logs, shooting, assists, given, ["PTS"]).count() == 0
+
+
+def test_inline_tables(spark):
+    from pyspark.sql import functions as F
+
+    games = constants.similar_games(spark).withColumn("made", constants.diff_percent(F.col("line"), F.col("result")))
+    assert games.count() == 8 and games.where("made <> diff_percent").isEmpty()
+    assert constants.team_ids(spark).select("team_id").distinct().count() == 30 and constants.play_types(spark).count() == 6 and constants.shot_types(spark).agg(F.sum("percentage")).first()[0] == 100
