@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm.common import filled, slices, small_batches, table, utf8
+from tallyspark.llm.common import filled, kept_in_worker, slices, small_batches, table, utf8
 
 #: Bytes of text whose distinct words are told together (one longer text makes a slice of its own).
 SLICE = 24 << 20
@@ -232,21 +232,18 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.append(b)
         size += b.column("text").nbytes
         if size >= SLICE:
-            yield from slices([pa.concat_batches(held)], limit=SLICE)
+            yield from slices([pa.concat_batches(held)], limit=SLICE, owner="byte_bpe")
             held, size = [], 0
     if held:
-        yield from slices([pa.concat_batches(held)], limit=SLICE)
-
-
-_coders: dict[tuple[str, str], ByteBpe] = {}
+        yield from slices([pa.concat_batches(held)], limit=SLICE, owner="byte_bpe")
 
 
 def coder(path: str, pattern: str) -> ByteBpe:
     """One coder for each rank file in a worker."""
-    key = path, pattern
-    if key not in _coders:
-        _coders[key] = ByteBpe(path, pattern)
-    return _coders[key]
+    mine, key = kept_in_worker("byte_bpe"), (path, pattern)
+    if key not in mine:
+        mine[key] = ByteBpe(path, pattern)
+    return mine[key]
 
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:

@@ -82,8 +82,19 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into runs of rows with at most `limit` bytes of text; a longer text stands alone."""
+#: What operators keep in a Python worker from task to task, by operator.
+_kept: dict[str, dict] = {}
+
+
+def kept_in_worker(owner: str) -> dict:
+    return _kept.setdefault(owner, {})
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, owner: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into runs of rows with at most `limit` bytes of text; a longer text stands alone. Workers go from one operator's
+    tasks to another's: what others than `owner` have kept goes first."""
+    for other in set(_kept) - {owner}:
+        del _kept[other]
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         ends, first = np.cumsum(size), 0

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Recent, materialize, slices, small_batches, table, words
+from tallyspark.llm.common import Recent, kept_in_worker, materialize, slices, small_batches, table, words
 
 WINDOW = 4096
 MAX_QUEUES = 256
@@ -39,17 +39,16 @@ CACHE = 400_000
 #: Rows up to which the starts of the blocks are broadcast (some 50 bytes each); above, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
-_tokenizers: dict[str, tuple] = {}
-
 
 def tokenizer(path: str) -> tuple:
     """The tokenizer and a dictionary of what it has given, one for each file in a worker."""
-    if path not in _tokenizers:
+    mine = kept_in_worker("packing")
+    if path not in mine:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path), Recent(CACHE)
-    return _tokenizers[path]
+        mine[path] = Tokenizer.from_file(path), Recent(CACHE)
+    return mine[path]
 
 
 def tokenize(text: pa.Array, path: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +80,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
     def run(batches):
         part, before = TaskContext.get().partitionId(), {}
-        for b in slices(batches):
+        for b in slices(batches, owner="packing"):
             ids, at = tokenize(b.column("text"), path, end)
             n, first = np.diff(at), []
             for s, k in zip(b.column("source").to_pylist(), n.tolist(), strict=True):
