@@ -5,7 +5,8 @@ the languages labels each byte. A document's probabilities are the mean over all
 trained on the driver by back-propagation through time, on a bounded sample of labelled rows (`PER_LANG` a language).
 
 Defined results: a null text, an empty one and one without a letter get `und` with score 0; repeated rows are predicted one by one;
-a null doc_id is kept, and never held out; if there is no row to learn from, every document gets `und`. Other columns are ignored.
+a null doc_id is kept, and never held out; if there is no row to learn from, every document gets `und`; an empty table gives an empty result; a very
+long text stands in a slice of its own, and each of its bytes is labelled. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ the document's score. The weights maximise the likelihood of the learning rows'
 ascent in numpy, on a bounded sample of labelled rows (`PER_CLASS` a class).
 
 Defined results: a null or empty text is one empty line and has a score too; repeated rows are scored one by one; a null doc_id is kept and
-never held out; without rows of both classes to learn from, all scores are 0. Other columns are ignored.
+never held out; without rows of both classes to learn from, all scores are 0; an empty table gives an empty result; a very long text
+stands in a slice of its own. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ bounded sample of documents labelled good (`TRUSTED`). A document's score is the
 and it is kept if the rules pass and the score is at least `THRESHOLD`, the same for every document and every size of corpus.
 
 Defined results: a null or empty text has no words, so `base_failed` is true; repeated rows get a row each; a null doc_id is kept as it
-is; without labelled rows the ratio is 0 for every n-gram. Other columns are ignored.
+is; without labelled rows the ratio is 0 for every n-gram; an empty table gives an empty result; a very long text stands in a slice of its
+own. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ a logistic curve fitted on the same learning rows. Every weight is trained in nu
 of labelled rows (`PER_CLASS` a class).
 
 Defined results: null, empty and blank texts are one window without words, so they have a score too; repeated rows are scored one by one;
-a null doc_id is kept and never held out; without rows of both classes to learn from, all scores are 0. Other columns are ignored.
+a null doc_id is kept and never held out; without rows of both classes to learn from, all scores are 0; an empty table gives an empty result;
+a very long text stands in a slice of its own, and all of its windows are scored. Other columns are ignored.
 """
 
 from __future__ import annotations
