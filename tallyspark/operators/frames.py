@@ -55,25 +55,22 @@ def _grams(x: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(marked) - 1), lambda i: F.substring(marked, i, F.lit(2))))
 
 
-def _lengths(x: Column, least: float) -> Column:
-    return F.sequence(F.ceil(F.length(x) * least).cast("int"), F.floor(F.length(x) / least).cast("int"))
-
-
 def best_match(names: DataFrame, known: DataFrame, cutoff: float, by_tokens: bool = False) -> DataFrame:
-    """For each distinct `name`, the best `candidate` with at least the cutoff; ties go to the smaller `ord`.
-
-    Candidates meet names by an equi-join. A score of 80 or more leaves a pair of neighbouring characters in common (an insertion breaks one
-    at most, a deletion two), so they are joined on these; below that they are joined on the lengths that can reach the cutoff."""
-    names, least = names.select("name").distinct(), cutoff / (200 - cutoff)
+    """For each distinct `name`, the best `candidate` with at least the cutoff (67 or more); ties go to the smaller `ord`.
+
+    Candidates meet names by an equi-join on pairs of neighbouring characters. Of a name of n characters, a score of c allows d deletions and i
+    insertions with (1 + t) d + (1 - t) i <= 2 t n, t = 1 - c / 100; a deletion breaks two pairs at most and an insertion one, so all but
+    4 t / (1 + t) n of the name's distinct pairs are in the candidate too. Only those that have so many are scored."""
+    if cutoff < 67:
+        raise ValueError("a cutoff under 67 leaves no pair of characters that both names must have")
+    away = 1 - cutoff / 100
+    broken = max(4 * away / (1 + away), 2 * away / (1 - away))
     form = sorted_tokens if by_tokens else (lambda x: x)
-    left = names.select("name", form(F.col("name")).alias("a")).where("length(a) > 0")
-    right = known.select("candidate", "ord", form(F.col("candidate")).alias("b")).where("length(b) > 0")
-    if cutoff >= 80:
-        met = left.withColumn("k", F.explode(_grams(F.col("a")))).join(right.withColumn("k", F.explode(_grams(F.col("b")))), "k")
-    else:
-        met = left.withColumn("k", F.explode(_lengths(F.col("a"), least))).join(right.withColumn("k", F.length("b")), "k")
-    fits = F.least(F.length("a"), F.length("b")) >= F.lit(least) * F.greatest(F.length("a"), F.length("b"))
-    pairs = met.where(fits).select("name", "a", "candidate", "b", "ord").distinct()
+    left = names.select("name").distinct().select("name", form(F.col("name")).alias("a")).where("length(a) > 0").withColumn("grams", _grams(F.col("a")))
+    right = known.select("candidate", "ord", form(F.col("candidate")).alias("b")).where("length(b) > 0").withColumn("k", F.explode(_grams(F.col("b"))))
+    met = left.select("name", "a", F.size("grams").alias("of"), F.explode("grams").alias("k")).join(right, "k")
+    shared = met.groupBy("name", "a", "of", "candidate", "b", "ord").agg(F.count("*").alias("both"))
+    pairs = shared.where(F.col("both") >= F.col("of") - F.lit(broken + 1e-9) * F.length("a"))
     scored = pairs.withColumn("score", indel_score(F.col("a"), F.col("b"))).where(F.col("score") >= cutoff)
     return latest(scored, "name", [F.desc("score"), F.col("ord")], 1).select("name", "candidate", "score")
 

@@ -51,6 +51,24 @@ def indel(a, b):
     return 200 * row[-1] / (len(a) + len(b)) if a and b else 0.0
 
 
+@pytest.mark.parametrize("cutoff", [67.0, 70.0, 85.0])
+def test_best_match_misses_none(spark, cutoff):
+    """The join on pairs of characters leaves out no candidate that reaches the cutoff."""
+    import random
+
+    rng = random.Random(int(cutoff))
+    name = lambda: "".join(rng.choice("aab c") for _ in range(rng.randrange(1, 12))).strip() or "a"
+    known, names = list(dict.fromkeys(name() for _ in range(80))), {name() for _ in range(80)}
+    want = {}
+    for a in names:
+        score, k = max((indel(a, b), -k) for k, b in enumerate(known))
+        if score >= cutoff:
+            want[a] = (known[-k], pytest.approx(score))
+    df = spark.createDataFrame([(b, k) for k, b in enumerate(known)], "candidate string, ord int")
+    got = frames.best_match(spark.createDataFrame([(a,) for a in names], "name string"), df, cutoff).collect()
+    assert {r["name"]: (r["candidate"], r["score"]) for r in got} == want and len(want) > 10
+
+
 def test_scores_of_any_length(spark):
     names = ["", "a", "ab", "alex sarr", "alexandre sarr", "x" * 61, "x" * 62, "ab" * 40, "abc" * 40, "y" + "x" * 63]
     pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
