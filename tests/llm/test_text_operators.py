@@ -308,6 +308,23 @@ def test_license_scan():
     assert out["base_labels"] == ["", "", "cc-by", "reserved", ""] and out["labels"][2] == "cc-by,cc-by-nc-4.0"
 
 
+def test_license_query_against_plain_python(spark):
+    """The base columns of the registered query over a whole table, by a word-by-word search."""
+    import re
+
+    folder = "/root/testdata/sf0.001"
+    got = {r["doc_id"]: r for r in license_scan.op8_license_scan(spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert len(got) == len(docs)
+    for doc_id, text in docs:
+        lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+        places = [(k, label) for phrase, label in license_scan.BASE.items() for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        r, at = got[doc_id], [k for k, _ in places]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), min(at, default=None), max(at, default=None))
+        assert r["base_labels"] == ",".join(sorted({x for _, x in places})) and {x for _, x in places} <= set(filter(None, r["labels"].split(",")))
+
+
 def test_all_notices_in_one_text(spark):
     """No notice is lost because others stand in the same text, with any frequencies of the words."""
     text = " ... ".join(text for _, text, _ in license_scan.TEXTS)
