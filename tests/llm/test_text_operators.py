@@ -366,6 +366,15 @@ def test_quality_rules(docs, labels):
     assert m["word_chars"].tolist() == [9, 0, 3] and m["n_symbols"].tolist() == [0, 0, 2]
 
 
+def test_quality_verdict_on_labelled_rows(spark):
+    """Of the labelled rows that pass the rules, the method keeps the good ones and no other; the ratio is the same whatever a row's id is."""
+    folder = "/root/testdata/sf0.01"
+    rows = quality_rules.op10_quality_rules(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    assert len(rows) > 250 and sum(r["kept"] == (r["quality"] == 1) for r in rows) >= 0.99 * len(rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert quality_rules.fit(docs.limit(0), spark.read.parquet(f"{folder}/labels.parquet")).max() == 0
+
+
 def test_quality_rules_brute_force(spark, labels):
     """Counts and verdicts as plain Python gives them, over odd texts."""
     import re
