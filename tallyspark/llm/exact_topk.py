@@ -16,7 +16,8 @@ that does not fit a long is an error.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,18 +83,25 @@ def as_type(x: np.ndarray, kind) -> np.ndarray:
     return np.vectorize(int, otypes=[object])(x) if kind is object and x.size else x.astype(kind)
 
 
-def search_block(cands: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+def matrix(t: pa.Table) -> np.ndarray:
+    """The vectors of a table, which are of one length, as rows of doubles."""
+    flat = pc.list_flatten(t.column("v").combine_chunks())
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, len(flat) // t.num_rows)
+
+
+def search_block(cands: pa.Table, queries: pa.Table, k: int) -> pa.Table:
     out = {"query_id": [], "query_key": [], "vec_id": [], "score": []}
-    if len(cands) and len(queries):
-        ids, vectors, asked = cands["vec_id"].to_numpy(np.int64), np.stack(cands["v"].to_numpy()).astype(float), np.stack(queries["v"].to_numpy()).astype(float)
+    if cands.num_rows and queries.num_rows:
+        ids, vectors, asked = cands.column("vec_id").to_numpy(), matrix(cands), matrix(queries)
         kind = exact_dtype(vectors, asked)
         pick = first_copies(ids, vectors, k + 1)
-        lists, copies = SortedLists(ids[pick], as_type(vectors[pick], kind)), np.minimum(cands["copies"].to_numpy(np.int64)[pick], k).tolist()
-        for own, key, q in zip(queries["vec_id"], queries["key"], as_type(asked, kind), strict=True):
+        lists, copies = SortedLists(ids[pick], as_type(vectors[pick], kind)), np.minimum(cands.column("copies").to_numpy()[pick], k).tolist()
+        for own, key, q in zip(queries.column("vec_id").to_pylist(), queries.column("key").to_pylist(), as_type(asked, kind), strict=True):
             for p in lists.top(own, q, k):
-                for name, value in zip(out, (own, key, lists.ids[p], int(lists.vectors[p] @ q)), strict=True):
+                for name, value in zip(out, (own, key, int(lists.ids[p]), int(lists.vectors[p] @ q)), strict=True):
                     out[name] += [value] * copies[p]
-    return pd.DataFrame({name: np.array(x, np.int64) for name, x in out.items()})
+    return pa.table({name: pa.array(x, pa.int64()) for name, x in out.items()})
 
 
 def search(vectors: DataFrame, is_query, k: int = K, scale: int = 256, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
@@ -111,7 +119,7 @@ def search(vectors: DataFrame, is_query, k: int = K, scale: int = 256, candidate
     cands = rows.select("size", spread(n_c).alias("c"), every(n_q).alias("q"), "vec_id", "copies", "v")
     asked = rows.where("asks").select("size", every(n_c).alias("c"), spread(n_q).alias("q"), "vec_id", "key", "v")
     by = ["size", "c", "q"]
-    best = cands.groupBy(*by).cogroup(asked.groupBy(*by)).applyInPandas(lambda a, b: search_block(a, b, k), "query_id long, query_key long, vec_id long, score long")
+    best = cands.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(lambda a, b: search_block(a, b, k), "query_id long, query_key long, vec_id long, score long")
     order = Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -68,7 +68,7 @@ def test_contract_all_is_the_same():
 
 
 def test_exact_topk(spark):
-    vectors = [(i, [float((i * 7 + k * i) % 11) / 8 - 0.5 for k in range(6)]) for i in range(120)] + [(500, None), (501, [None] * 6), (502, [float("nan")] * 6), (503, [0.1, 0.2]), (3, [float((21 + k * 3) % 11) / 8 - 0.5 for k in range(6)])]
+    vectors = [(i, [float((i * 7 + k * i) % 11) / 8 - 0.5 for k in range(6)]) for i in range(120)] + [(500, None), (501, [None] * 6), (502, [float("nan")] * 6), (503, [0.1, 0.2]), (600, []), (601, []), (3, [float((21 + k * 3) % 11) / 8 - 0.5 for k in range(6)])]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
     from pyspark.sql import functions as F
 
@@ -78,7 +78,7 @@ def test_exact_topk(spark):
     for q in (0, 50, 100):
         best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:5]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
-    assert sorted(got) == sorted(want)
+    assert sorted(got) == sorted([*want, (600, 1, 601, 0)])
     assert exact_topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
