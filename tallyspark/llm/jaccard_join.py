@@ -334,7 +334,7 @@ def shared_segments(docs: DataFrame) -> DataFrame:
     return materialize(dealt.mapInArrow(shared, "key long, cls long, n long"), "shared")
 
 
-def stars(cells: DataFrame, classes: DataFrame) -> DataFrame:
+def stars(cells: DataFrame) -> DataFrame:
     """Pairs of each class with the one of its segment of whose own segments the largest share is shared."""
     share = cells.groupBy("cls").agg((F.count("*") / F.min("n")).alias("share"))
     scored = cells.join(share.hint("merge"), "cls")
@@ -363,7 +363,7 @@ def within(live: DataFrame, labels: DataFrame, classes: DataFrame, whole: bool)
     return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "role").mapInArrow(plausible, "a long, b long").distinct()
 
 
-def links(docs: DataFrame, nodes: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """Of pairs (a, b) of classes, those that are links: by their sketches, then by their texts."""
     of = lambda t, x, c: t.select(F.col("cls").alias(x), F.col(c).alias(f"{c}_{x}"), *([F.col("n").alias(f"n_{x}")] if c == "sketch" else []))
     both = pairs.join(of(classes, "a", "sketch").hint("merge"), "a").join(of(classes, "b", "sketch").hint("merge"), "b").withColumn("total", F.col("n_a") + F.col("n_b"))
@@ -389,8 +389,8 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     alone = classes.select(F.col("cls").alias("node"), F.col("cls").alias("comp"))
     edges, labels, live = None, alone, cells
     for turn in range(3):
-        pairs = stars(live, classes) if not turn else within(live, labels, classes, whole=turn == 2)
-        found = links(docs, nodes, classes, materialize(pairs, "candidates"))
+        pairs = stars(live) if not turn else within(live, labels, classes, whole=turn == 2)
+        found = links(docs, classes, materialize(pairs, "candidates"))
         edges = found if edges is None else edges.union(found)
         if not found.isEmpty():
             of = components(edges)
