@@ -43,7 +43,7 @@ SEGMENTS = 64
 #: The table of frequent shingles: buckets, and documents in the sample that it is made from.
 HOT_BUCKETS, HOT_SAMPLE = 1 << 20, 20_000
 #: About so many classes of a segment are compared with all others in the second round; a part of a segment has about so many classes.
-FEW, PART = 64, 1024
+FEW, PART = 64, 2048
 #: Bytes of the folded sketch that goes with a class into every segment.
 FOLD = 128
 
@@ -344,21 +344,25 @@ def stars(cells: DataFrame) -> DataFrame:
 
 
 def within(live: DataFrame, labels: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:
-    """Pairs whose folded sketches allow a link, of classes of a segment that are of different components: of some FEW classes with all, or of
-    all with all. A segment of many classes is dealt in parts: the rows that are compared with all others go to each part."""
-    sizes = materialize(live.groupBy("key").agg(F.count("*").alias("many")), "sizes")
-    rows = live.join(sizes.hint("merge"), "key").join(labels.withColumnRenamed("node", "cls").hint("merge"), "cls").join(classes.select("cls", "fold").hint("merge"), "cls")
-    parts = F.ceil(F.col("many") / PART).cast("int")
-    own = F.pmod(F.xxhash64("cls"), parts).cast("int")
-    all_parts = F.sequence(F.lit(0), parts - 1)
-    place = lambda a, b, role: F.struct(F.lit(a).cast("int").alias("a"), F.lit(b).cast("int").alias("b"), F.lit(role).cast("byte").alias("role"))
+    """Pairs whose folded sketches allow a link, of classes of a segment that are of different components: of some FEW classes with all, or
+    (`whole`) of all with all. In the latter, classes outside a segment's largest component are compared with all of it, as any two of different
+    components are such a pair. A segment of many classes is dealt in parts: (a, b) has part a of those that are compared with all, and part b
+    of all."""
+    tagged = live.join(labels.withColumnRenamed("node", "cls").hint("merge"), "cls")
+    counts = tagged.groupBy("key", "comp").agg(F.count("*").alias("n_comp")).groupBy("key").agg(F.sum("n_comp").alias("many"), F.max(F.struct("n_comp", "comp")).alias("main"))
+    sizes = materialize(counts.select("key", "many", F.col("main.comp").alias("main"), (F.col("many") - F.col("main.n_comp")).alias("outside")), "sizes")
+    rows = tagged.join(sizes.hint("merge"), "key").join(classes.select("cls", "fold").hint("merge"), "cls")
     if whole:
-        several = F.concat(F.transform(all_parts, lambda k: place(own, k, 0)), F.transform(all_parts, lambda k: place(k, own, 2)))
-        places = F.when(parts > 1, several).otherwise(F.array(place(0, 0, 1)))
+        chosen, n_chosen = F.col("comp") != F.col("main"), F.col("outside")
     else:
-        chosen = F.pmod(F.xxhash64("cls", "key"), F.ceil(F.col("many") / FEW)) == 0
-        others = F.filter(all_parts, lambda k: k != own)
-        places = F.when(chosen, F.concat(F.array(place(0, own, 1)), F.transform(others, lambda k: place(0, k, 0)))).otherwise(F.array(place(0, own, 2)))
+        chosen, n_chosen = F.pmod(F.xxhash64("cls", "key"), F.ceil(F.col("many") / FEW)) == 0, F.lit(1)
+    parts_a, parts_b = (F.greatest(F.ceil(n / PART).cast("int"), F.lit(1)) for n in (n_chosen, F.col("many")))
+    own_a, own_b = (F.pmod(F.xxhash64("cls"), n).cast("int") for n in (parts_a, parts_b))
+    place = lambda a, b, role: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), F.lit(role).cast("byte").alias("role"))
+    all_a, all_b = (F.sequence(F.lit(0), n - 1) for n in (parts_a, parts_b))
+    first = F.transform(F.filter(all_b, lambda k: k != own_b), lambda k: place(own_a, k, 0))
+    later = F.transform(F.filter(all_a, lambda k: k != own_a), lambda k: place(k, own_b, 2))
+    places = F.when(chosen, F.concat(F.array(place(own_a, own_b, 1)), first, later)).otherwise(F.transform(all_a, lambda k: place(k, own_b, 2)))
     dealt = rows.select("key", "cls", "n", "comp", "fold", F.explode(places).alias("p")).select("key", "p.a", "p.b", "p.role", "cls", "n", "comp", "fold")
     return dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "role").mapInArrow(plausible, "a long, b long").distinct()
 
