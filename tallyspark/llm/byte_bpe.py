@@ -19,7 +19,6 @@ import hashlib
 import heapq
 import itertools
 import sys
-from collections.abc import Iterator
 
 import duckdb
 import numpy as np
@@ -29,7 +28,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.llm.common import filled, kept_in_worker, slices, small_batches, table, utf8
+from tallyspark.llm.common import filled, gathered, kept_in_worker, small_batches, table, utf8
 
 #: Bytes of text whose distinct words are told together (one longer text makes a slice of its own).
 SLICE = 24 << 20
@@ -224,20 +223,6 @@ class ByteBpe:
         return pc.fill_null(joined.take(pa.array(row, mask=row < 0)), b"")
 
 
-def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches put together to SLICE bytes of text, and cut to that."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-    for b in batches:
-        held.append(b)
-        size += b.column("text").nbytes
-        if size >= SLICE:
-            yield from slices([pa.concat_batches(held)], limit=SLICE, owner="byte_bpe")
-            held, size = [], 0
-    if held:
-        yield from slices([pa.concat_batches(held)], limit=SLICE, owner="byte_bpe")
-
-
 def coder(path: str, pattern: str) -> ByteBpe:
     """One coder for each rank file in a worker."""
     mine, key = kept_in_worker("byte_bpe"), (path, pattern)
@@ -252,7 +237,7 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in gathered(batches):
+        for b in gathered(batches, SLICE, "byte_bpe"):
             ids, _, _ = coder(path, pattern).encode(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), ids.cast(pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -279,7 +264,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATT
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        for b in gathered(batches):
+        for b in gathered(batches, SLICE, "byte_bpe"):
             ids, said, back = coder(path, pattern).encode(b.column("text"))
             sha = lambda xs: pa.array([hashlib.sha256(x).hexdigest() for x in xs.cast(pa.large_binary()).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pc.list_value_length(ids).cast(pa.int64()), sha(said), sha(back)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

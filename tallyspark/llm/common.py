@@ -105,6 +105,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             first = last
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int, owner: str) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together to `limit` bytes of text, and cut to that."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.column("text").nbytes
+        if size >= limit:
+            yield from slices([pa.concat_batches(held)], limit=limit, owner=owner)
+            held, size = [], 0
+    if held:
+        yield from slices([pa.concat_batches(held)], limit=limit, owner=owner)
+
+
 def kept_rows(docs: DataFrame, decide) -> DataFrame:
     """The rows of docs (all columns) for which decide(batch) is true."""
     small_batches(docs.sparkSession)

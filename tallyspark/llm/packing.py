@@ -29,13 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import Recent, kept_in_worker, materialize, slices, small_batches, table, words
+from tallyspark.llm.common import Recent, gathered, kept_in_worker, materialize, small_batches, table, words
 
 WINDOW = 4096
 MAX_QUEUES = 256
 END = 2
 #: Entries in a generation of what a worker keeps of what it has tokenized.
 CACHE = 400_000
+#: Bytes of text whose distinct runs are told together; runs in one text for the tokenizer, and the mark between them.
+SLICE, TOGETHER, MARK = 16 << 20, 1000, "|"
 #: Rows up to which the starts of the blocks are broadcast (some 50 bytes each); above, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -51,6 +53,29 @@ def tokenizer(path: str) -> tuple:
     return mine[path]
 
 
+def encoded(tok, runs: list[str]) -> list[bytes]:
+    """The ids of each run, as bytes. Runs go to the tokenizer `TOGETHER` at a time, with a mark before each; those with the mark in them by
+    themselves, and all of a text that does not come back with as many marks."""
+    mark = tok.encode(MARK, add_special_tokens=False).ids
+    alone = [k for k, x in enumerate(runs) if MARK in x]
+    rest = [k for k, x in enumerate(runs) if MARK not in x] if len(mark) == 1 else []
+    out: list[bytes] = [b""] * len(runs)
+    parts = [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
+    for part, e in zip(parts, tok.encode_batch_fast([" ".join(f"{MARK} {runs[k]}" for k in part) for part in parts], add_special_tokens=False), strict=True):
+        ids = np.array(e.ids, np.uint32)
+        at = np.flatnonzero(ids == mark[0])
+        if len(at) != len(part):
+            alone += part
+            continue
+        raw, at = ids.tobytes(), (4 * np.append(at, len(ids))).tolist()
+        for k, i, j in zip(part, at[:-1], at[1:], strict=True):
+            out[k] = raw[i + 4 : j]
+    alone = alone if len(mark) == 1 else range(len(runs))
+    for k, e in zip(alone, tok.encode_batch_fast([runs[k] for k in alone], add_special_tokens=False), strict=True):
+        out[k] = np.array(e.ids, np.uint32).tobytes()
+    return out
+
+
 def tokenize(text: pa.Array, path: str, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """The ids of all texts in a row, each text's end id included, and the places where they start (one more at the end). The tokenizer drops
     white space and never merges across it, so each distinct run between ASCII white space is tokenized once."""
@@ -60,7 +85,7 @@ def tokenize(text: pa.Array, path: str, end: int = END) -> tuple[np.ndarray, np.
     new, young = known.missing(said), known.young
     for i in range(0, len(new), 20_000):
         part = new[i : i + 20_000]
-        young.update((x, np.array(e.ids, np.uint32).tobytes()) for x, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        young.update(zip(part, encoded(tok, part), strict=True))
     got = [young[x] for x in said]
     flat, size = np.frombuffer(b"".join(got), np.uint32), np.array([len(x) // 4 for x in got], np.int64)
     many = size[code] if len(code) else code
@@ -80,7 +105,7 @@ def tokenized(docs: DataFrame, path: str, end: int = END) -> DataFrame:
 
     def run(batches):
         part, before = TaskContext.get().partitionId(), {}
-        for b in slices(batches, owner="packing"):
+        for b in gathered(batches, SLICE, "packing"):
             ids, at = tokenize(b.column("text"), path, end)
             n, first = np.diff(at), []
             for s, k in zip(b.column("source").to_pylist(), n.tolist(), strict=True):

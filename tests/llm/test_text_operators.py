@@ -130,6 +130,17 @@ def test_packing(docs, window):
     assert packing.pack(docs.limit(0), WORD).count() == 0
 
 
+def test_runs_together_are_as_runs_alone(monkeypatch):
+    """Many runs in one text for the tokenizer have the ids that each has alone."""
+    from tokenizers import Tokenizer
+
+    tok, rng = Tokenizer.from_file(WORD), random.Random(9)
+    runs = ["|", "a|b", "||", "\u0301x", "é", "e\u0301", "\u3000", "don't", "x1y22", "漢字", "\U0001f600", *("".join(rng.choice("abzé'1|.,-\u0301ß漢") for _ in range(rng.randrange(1, 9))) for _ in range(400))]
+    monkeypatch.setattr(packing, "TOGETHER", 7)
+    want = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in tok.encode_batch(runs, add_special_tokens=False)]
+    assert packing.encoded(tok, runs) == want
+
+
 def test_packing_is_deficit_round_robin():
     """The closed form serves the tokens that a queue by queue, token by token round gives: each time the queue goes next whose credit, its
     weight of all that is served, is furthest ahead of what it has had; an empty queue drops out."""
