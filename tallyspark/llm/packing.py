@@ -37,7 +37,7 @@ END = 2
 #: Entries in a generation of what a worker keeps of what it has tokenized.
 CACHE = 400_000
 #: Bytes of text whose distinct runs are told together; runs in one text for the tokenizer, and the mark between them.
-SLICE, TOGETHER, MARK = 16 << 20, 1000, "|"
+SLICE, TOGETHER, MARK = 4 << 20, 1000, "|"
 #: Rows up to which the starts of the blocks are broadcast (some 50 bytes each); above, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
