@@ -16,7 +16,7 @@ slice of its own. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from itertools import permutations
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -70,9 +70,8 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     """A hash of each word, from prefix sums of its bytes' values times powers of a base, moved back to the word's start. Words go in runs of
     `RUN` bytes, so that a long text needs no more memory."""
     value, out = mix(np.arange(1, 257, dtype=np.uint64)), np.zeros(len(start), np.uint64)
-    run = start // RUN
-    cuts = np.flatnonzero(np.diff(run, prepend=-1)) if len(start) else run
-    for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(start)], strict=True):
+    cuts = np.append(np.flatnonzero(np.diff(start // RUN, prepend=-1)), len(start)).tolist()
+    for i, j in itertools.pairwise(cuts):
         first, own = start[i], raw[start[i] : end[j - 1]]
         total = np.zeros(len(own) + 1, np.uint64)
         np.cumsum(value[own] * powers(BASE, len(own)), out=total[1:])
@@ -162,7 +161,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A row that fails k filters is removed by each of them in 120 / k of the 120 orders, which gives the last column."""
     # 128 entries at most for each part
     parts = mask_counts(docs, labels).groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("seen"))
-    orders = F.split(F.lit(" ".join("".join(p) for p in permutations(LETTERS))), " ")
+    orders = F.split(F.lit(" ".join("".join(p) for p in itertools.permutations(LETTERS))), " ")
     bits = lambda order, hit: sum((F.when(hit(F.instr(order, x)), 1 << k).otherwise(0) for k, x in enumerate(LETTERS)), F.lit(0))
     step = lambda order, k: F.struct(order.alias("filter_order"), k.alias("step"), bits(order, lambda at: at == k).alias("own"), bits(order, lambda at: at < k).alias("before"))
     placed = parts.select("part", "seen", F.inline(F.flatten(F.transform(orders, lambda order: F.transform(F.sequence(F.lit(1), F.lit(5)), lambda k: step(order, k))))))
