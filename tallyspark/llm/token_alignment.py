@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.common import gathered, kept_in_worker, materialize, small_batches, table, utf8
 
 #: Bytes of text whose distinct segments are told together; distinct pairs in a block; segments that go to a tokenizer in one text.
-SLICE, BLOCK, TOGETHER = 8 << 20, 1 << 16, 2000
+SLICE, BLOCK, TOGETHER = 4 << 20, 1 << 16, 2000
 #: First bytes of the UTF-8 forms of all white space beyond ASCII (and of other characters).
 MAYBE_SPACE = [0xC2, 0xE1, 0xE2, 0xE3]
 
