@@ -1,6 +1,6 @@
 """The registered queries of the text operators, and their SQL where SQL can express them."""
 
-from tallyspark.llm import byte_bpe, exact_topk, filter_audit, jaccard_join, language_id, license_scan, line_quality, packing, quality_rules, suffix_dedup, token_alignment, toxicity
+from tallyspark.llm import byte_bpe, exact_topk, filter_audit, jaccard_join, language_id, license_scan, line_quality, packing, personal_data, quality_rules, suffix_dedup, token_alignment, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_personal_data": personal_data.op11_personal_data,
     "op12_token_alignment": token_alignment.op12_token_alignment,
     "op13_filter_audit": filter_audit.op13_filter_audit,
 }
