@@ -49,51 +49,117 @@ def shares_to_hundred(df: DataFrame, key: str, part: str, order: Column, n: Colu
     return rows.withColumn("pct", (F.col("base") + F.when(rank <= short, 1).otherwise(0)).cast("int")).select(key, part, "pct")
 
 
-def _grams(x: Column) -> Column:
-    """The distinct pairs of neighbouring characters, with a mark at either end."""
+def _pairs_of(x: Column) -> Column:
+    """The pairs of neighbouring characters with their places, with a mark at either end."""
     marked = F.concat(F.lit("\x02"), x, F.lit("\x03"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(marked) - 1), lambda i: F.substring(marked, i, F.lit(2))))
-
-
-def best_match(names: DataFrame, known: DataFrame, cutoff: float, by_tokens: bool = False) -> DataFrame:
-    """For each distinct `name`, the best `candidate` with at least the cutoff (67 or more); ties go to the smaller `ord`.
-
-    Candidates meet names by an equi-join on pairs of neighbouring characters. Of a name of n characters, a score of c allows d deletions and i
-    insertions with (1 + t) d + (1 - t) i <= 2 t n, t = 1 - c / 100; a deletion breaks two pairs at most and an insertion one, so all but
-    4 t / (1 + t) n of the name's distinct pairs are in the candidate too. Only those that have so many are scored."""
+    return F.transform(F.sequence(F.lit(1), F.length(marked) - 1), lambda i: F.struct(F.substring(marked, i, F.lit(2)).alias("gram"), i.alias("at")))
+
+
+def _letters(x: Column) -> Column:
+    """Two words of 64 bits with a bit for each letter and how often it came before: bits that only one of two names has are letters that the
+    other lacks (letters that share a bit only make them fewer)."""
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def step(s: Column, c: Column) -> Column:
+        nth = F.when(c == s["last"], s["nth"] + 1).otherwise(0)
+        bit = F.call_function("shiftleft", one, ((F.floor(F.ascii(c) / 2) * 5 + nth * 13) % 64).cast("int"))
+        even = F.ascii(c) % 2 == 0
+        return F.struct(c.alias("last"), nth.alias("nth"), F.when(even, s["x"].bitwiseOR(bit)).otherwise(s["x"]).alias("x"), F.when(even, s["y"]).otherwise(s["y"].bitwiseOR(bit)).alias("y"))
+
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("nth"), none.alias("x"), none.alias("y"))
+    chars = F.array_sort(F.filter(F.split(x, ""), lambda c: c != ""))
+    return F.aggregate(chars, start, step, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
+
+
+def _rarest(rows: DataFrame, key: str, form: str, frequency: DataFrame, broken: float) -> DataFrame:
+    """A row for each of a name's rarest pairs, one more than `broken` of its length: gram, its rank from 0, n, and of what stands left and right of
+    it, and of the whole name, the length and the letters."""
+    each = rows.select(key, F.explode(_pairs_of(F.col(form))).alias("p")).select(key, "p.gram", "p.at").join(frequency, "gram", "left")
+    first = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "at"))).alias("rare"))
+    n = F.length(form)
+    kept = rows.join(first, key).select(*rows.columns, n.alias("n"), F.posexplode(F.slice("rare", F.lit(1), F.floor(F.lit(broken + 1e-9) * n).cast("int") + 1)).alias("rank", "p"))
+    kept = kept.select("*", "p.gram", "p.at")
+    left, right = F.substring(form, F.lit(1), F.col("at") - 2), F.substring(form, F.col("at") + 1, n)
+    side = lambda x: F.struct(F.length(x).alias("n"), _letters(x).alias("has"))
+    return kept.select(*rows.columns, "n", "gram", "rank", side(F.col(form)).alias("whole"), side(F.when(F.col("at") > 2, left).otherwise("")).alias("left"), side(right).alias("right"))
+
+
+def candidates(names: DataFrame, known: DataFrame, cutoff: float, by_tokens: bool = False) -> DataFrame:
+    """name, a, candidate, b and ord of the pairs of names that may score the cutoff (67 or more), by an index of rare pairs of characters.
+
+    Of a name of n characters, a score of c allows d deletions and i insertions with (1 + t) d + (1 - t) i <= 2 t n, t = 1 - c / 100; a deletion
+    breaks two pairs of neighbours at most and an insertion one, so all but 4 t / (1 + t) n of its pairs also stand together in the other name. So
+    do, seen from there, all but as many of the other's. Put in the order of how many names have them, the first pair that both keep is among the
+    rarest ones of either, one more than may break; only these meet, and if L is what the names share, rank r in a name of n characters and the
+    other's m leave 3 L <= 2 n + m - r. Where a pair stands in both names, what is left of it can share no more than
+    the shorter side has, less the letters that the other side lacks, and so what is right of it: that is asked in the join itself."""
     if cutoff < 67:
         raise ValueError("a cutoff under 67 leaves no pair of characters that both names must have")
     away = 1 - cutoff / 100
     broken = max(4 * away / (1 + away), 2 * away / (1 - away))
     form = sorted_tokens if by_tokens else (lambda x: x)
-    left = names.select("name").distinct().select("name", form(F.col("name")).alias("a")).where("length(a) > 0").withColumn("grams", _grams(F.col("a")))
-    right = known.select("candidate", "ord", form(F.col("candidate")).alias("b")).where("length(b) > 0").withColumn("k", F.explode(_grams(F.col("b"))))
-    met = left.select("name", "a", F.size("grams").alias("of"), F.explode("grams").alias("k")).join(right, "k")
-    shared = met.groupBy("name", "a", "of", "candidate", "b", "ord").agg(F.count("*").alias("both"))
-    pairs = shared.where(F.col("both") >= F.col("of") - F.lit(broken + 1e-9) * F.length("a"))
+    left = names.select("name").distinct().select("name", form(F.col("name")).alias("a")).where("length(a) > 0")
+    right = known.select("candidate", "ord", form(F.col("candidate")).alias("b")).where("length(b) > 0")
+    grams = F.array_distinct(F.transform(_pairs_of(F.col("b")), lambda p: p["gram"]))
+    frequency = right.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    x, y = _rarest(left, "name", "a", frequency, broken).alias("x"), _rarest(right, "candidate", "b", frequency, broken).alias("y")
+
+    def lacks(p: str, q: str, side: str) -> Column:
+        return sum((F.bit_count(F.col(f"{p}.{side}.has.{w}").bitwiseAND(F.bitwise_not(F.col(f"{q}.{side}.has.{w}")))) for w in "xy"), F.lit(0))
+
+    def shared(side: str) -> Column:
+        return F.least(F.col(f"x.{side}.n") - lacks("x", "y", side), F.col(f"y.{side}.n") - lacks("y", "x", side))
+
+    own = F.length(F.translate("x.gram", "\x02\x03", ""))
+    both = F.col("x.n") + F.col("y.n")
+    by_rank = F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank")) + both
+    enough = F.least((shared("left") + own + shared("right")) * 3, shared("whole") * 3, by_rank) * 200 >= F.lit(3 * cutoff - 1e-9) * both
+    return x.join(y, (F.col("x.gram") == F.col("y.gram")) & enough).select("name", "a", "candidate", "b", "ord")
+
+
+def best_match(names: DataFrame, known: DataFrame, cutoff: float, by_tokens: bool = False) -> DataFrame:
+    """For each distinct `name`, the best `candidate` with at least the cutoff (67 or more); ties go to the smaller `ord`."""
+    pairs = candidates(names, known, cutoff, by_tokens).distinct()
     scored = pairs.withColumn("score", indel_score(F.col("a"), F.col("b"))).where(F.col("score") >= cutoff)
     return latest(scored, "name", [F.desc("score"), F.col("ord")], 1).select("name", "candidate", "score")
 
 
+def dictionary(names: DataFrame, known: DataFrame) -> DataFrame:
+    """name, candidate and tier of each distinct name that finds a candidate (candidate, ord): 1 the same name, 2 the best of 85 or more, 3 the best
+    of 70 or more by sorted tokens. A name that one tier finds never comes to the next."""
+    each = names.select("name").distinct().join(known.select(F.col("candidate").alias("name"), F.lit(True).alias("exact")), "name", "left")
+    unknown = each.where("exact is null").select("name")
+    near = best_match(unknown, known, 85.0)
+    loose = best_match(unknown.join(near, "name", "left_anti"), known, 70.0, by_tokens=True)
+    tier = lambda found, k: found.select("name", "candidate", F.lit(k).alias("tier"))
+    return each.where("exact").select("name", F.col("name").alias("candidate"), F.lit(1).alias("tier")).union(tier(near, 2)).union(tier(loose, 3))
+
+
+#: The team of a name's first player in any team: no prop wants it, as empty teams name none.
+ANY_TEAM = ""
+
+
+def first_players(players: DataFrame) -> DataFrame:
+    """candidate, team and the first (ord, player_id) of that name in that team; ANY_TEAM has the first of all."""
+    first = F.min(F.struct("ord", "player_id")).alias("first")
+    in_team = players.groupBy("candidate", "team").agg(first)
+    return in_team.where("team <> ''").union(in_team.groupBy("candidate").agg(F.min("first").alias("first")).select("candidate", F.lit(ANY_TEAM).alias("team"), "first"))
+
+
 def resolve(props: DataFrame, players: DataFrame, aliases: dict[str, str] = ALIASES) -> DataFrame:
     """prop_id, player_id and tier of the props (prop_id, name, team, team_options) that name a player (player_id, name, team, ord).
 
     Both sides' names are made canonical, and a prop's goes through the aliases. Tier 1 is the exact name, tier 2 the best name of 85 or more,
     tier 3 the best name of 70 or more by sorted tokens, if a player of that name is in a team that the prop names. Of several players of one
-    name, those of a named team go first, then the lowest ord. Only distinct names that the tier before has not found are scored."""
-    props = props.select("prop_id", aliased(canonical_name(F.col("name")), aliases).alias("name"), teams_wanted(F.col("team"), F.col("team_options")).alias("wanted"))
-    players = players.select("player_id", canonical_name(F.col("name")).alias("candidate"), F.col("team").alias("p_team"), "ord")
-
-    def pick(pairs: DataFrame, tier: int, team_only: bool = False) -> DataFrame:
-        met = pairs.join(players, "candidate").withColumn("same", F.coalesce(F.array_contains("wanted", F.col("p_team")), F.lit(False)))
-        met = met.where("same") if team_only else met
-        return latest(met, "prop_id", [F.col("same").desc(), F.col("ord")], 1).select("prop_id", "player_id", F.lit(tier).alias("tier"))
+    name, those of a named team go first, then the lowest ord.
 
+    Names are looked up in a dictionary of distinct names, and players in one of the first player of each name and team: a prop meets one row for
+    each team that it names, and one for any team, however many players have the name."""
+    props = props.select("prop_id", aliased(canonical_name(F.col("name")), aliases).alias("name"), teams_wanted(F.col("team"), F.col("team_options")).alias("wanted"))
+    players = players.select("player_id", canonical_name(F.col("name")).alias("candidate"), "team", "ord")
     known = players.groupBy("candidate").agg(F.min("ord").alias("ord"))
-    # the exact name, then the fuzzy ones, of each distinct name: a name that has one tier never comes to the next
-    names = props.select("name").distinct().join(known.select(F.col("candidate").alias("name"), F.lit(True).alias("exact")), "name", "left")
-    unknown = names.where("exact is null")
-    near = best_match(unknown, known, 85.0)
-    loose = best_match(unknown.join(near, "name", "left_anti"), known, 70.0, by_tokens=True)
-    exact = pick(props.withColumn("candidate", F.col("name")), 1)
-    return exact.union(pick(props.join(near, "name"), 2)).union(pick(props.join(loose, "name"), 3, team_only=True))
+    named = props.join(dictionary(props, known), "name")
+    teams = F.when(F.col("tier") < 3, F.array_append("wanted", F.lit(ANY_TEAM))).otherwise(F.col("wanted"))
+    asked = named.select("prop_id", "candidate", "tier", F.explode(teams).alias("team"))
+    best = F.min(F.struct((F.col("team") == ANY_TEAM).alias("any"), "first")).alias("best")
+    return asked.join(first_players(players), ["candidate", "team"]).groupBy("prop_id", "tier").agg(best).select("prop_id", F.col("best.first.player_id").alias("player_id"), "tier")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
@@ -29,12 +30,14 @@ def chart_series(s, d):
     return flat.select("o_custkey", (F.col("pos") + 1).alias("at"), "r.o_orderkey", F.element_at(F.split("r.o_orderpriority", "-"), -1).alias("opponent"), F.date_format(date, "MMM").alias("month"), F.date_format(date, "dd").alias("day"), F.date_format(date, "EEE").alias("weekday"))
 
 
-@query(f"SELECT o_custkey, top, CAST(floor(top * 0.75::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS t75, CAST(floor(top * 0.5::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS t50, CAST(floor(top * 0.25::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS t25, round(least(line / top * 100, 100), 4) AS line_pct FROM (SELECT o_custkey, greatest(ceil(max(o_totalprice) / 1000 * 1.1::DOUBLE / 4) * 4, 10)::BIGINT AS top, round(avg(o_totalprice) / 1000, 3) AS line FROM {ORDERS} GROUP BY 1)")
+@query(f"SELECT o_custkey, top, CAST(floor(top * 0.75::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS t75, CAST(floor(top * 0.5::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS t50, CAST(floor(top * 0.25::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS t25, floor(least(line / top * 100, 100) * 10000 + 0.5::DOUBLE) / 10000 AS line_pct FROM (SELECT o_custkey, greatest(ceil(max(o_totalprice) / 1000 * 1.1::DOUBLE / 4) * 4, 10)::BIGINT AS top, sum((o_totalprice * 100)::BIGINT)::DOUBLE / count(*) / 100000 AS line FROM {ORDERS} GROUP BY 1)")
 def axis_ticks(s, d):
+    # the line from whole cents, so that the order of the rows does not matter, and rounded half up once
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
     top = F.greatest(F.ceil(F.max("o_totalprice") / 1000 * 1.1 / 4) * 4, F.lit(10)).cast("long").alias("top")
-    rows = recent(s, d, 30).groupBy("o_custkey").agg(top, F.round(F.avg("o_totalprice") / 1000, 3).alias("line"))
+    rows = recent(s, d, 30).groupBy("o_custkey").agg(top, (F.sum(cents).cast("double") / F.count("*") / 100000).alias("line"))
     tick = lambda share: F.floor(F.col("top") * share + 0.5).alias(f"t{round(share * 100)}")
-    return rows.select("o_custkey", "top", tick(0.75), tick(0.5), tick(0.25), F.round(F.least(F.col("line") / F.col("top") * 100, F.lit(100.0)), 4).alias("line_pct"))
+    return rows.select("o_custkey", "top", tick(0.75), tick(0.5), tick(0.25), (F.floor(F.least(F.col("line") / F.col("top") * 100, F.lit(100.0)) * 10000 + 0.5) / 10000).alias("line_pct"))
 
 
 FORM = "(SELECT user_id, round(avg(CASE WHEN rn <= 5 THEN value END) - avg(value), 3) AS diff FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events QUALIFY rn <= 35) GROUP BY user_id)"
@@ -80,8 +83,10 @@ def team_lookup(s, d):
     return games.join(constants.team_ids(s), "team", "left").select("game", "team", "team_id")
 
 
-@query("SELECT * FROM (VALUES ('Pacers', 2, 1), ('Raptors', 2, 1), ('Grizzlies', 1, 0), ('Hawks', 2, 1), ('Magic', 1, 0)) t(team, games, over)")
+@query("WITH r AS (SELECT event_type, value, floor(max(value) OVER (PARTITION BY user_id) / 2) + 0.5::DOUBLE AS line FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 35)) SELECT event_type AS team, count(*)::INTEGER AS games, count(*) FILTER (value > line)::INTEGER AS over FROM r GROUP BY 1")
 def similar_panel(s, d):
-    """Games against the line by team, from the inline rows."""
-    over = F.sum(F.when(F.col("result") > F.col("line"), 1).otherwise(0)).cast("int")
-    return constants.similar_games(s).groupBy("team").agg(F.count("*").cast("int").alias("games"), over.alias("over"))
+    """Games against the line by team: latest 35 of each user against half of their best, by type."""
+    rows = O.latest(T(s, d, "events").select("user_id", "ts", "event_id", "event_type", "value"), "user_id", [F.desc("ts"), F.desc("event_id")], 35)
+    line = F.floor(F.max("value").over(Window.partitionBy("user_id")) / 2) + 0.5
+    over = F.sum(F.when(F.col("value") > F.col("line"), 1).otherwise(0)).cast("int")
+    return rows.withColumn("line", line).groupBy(F.col("event_type").alias("team")).agg(F.count("*").cast("int").alias("games"), over.alias("over"))

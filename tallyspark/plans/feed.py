@@ -66,13 +66,13 @@ def merge_last_team(s, d):
     return stats.last_of(sums, ["name"], "team_id")
 
 
-@query("SELECT n_nationkey AS nation, count(*) AS players, string_agg(c_custkey, ',' ORDER BY c_acctbal DESC, c_custkey) FILTER (rn <= 35) AS first FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+@query("SELECT n_nationkey AS nation, count(*) AS players, string_agg(c_custkey, ',' ORDER BY c_acctbal DESC, c_custkey) AS listed FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def players_under_game(s, d):
-    """Each game's players as a list (the first 35), and their number; games without any go."""
-    who = T(s, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    n = who.groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("players"))
-    top = O.latest(who, "c_nationkey", [F.desc("c_acctbal"), F.col("c_custkey")], 35).groupBy(F.col("c_nationkey").alias("nation")).agg(F.sort_array(F.collect_list(F.struct("rn", "c_custkey"))).alias("log"))
-    return n.join(top, "nation").select("nation", "players", F.array_join(F.transform("log", lambda x: x["c_custkey"].cast("string")), ",").alias("first"))
+    """Each game's players as a list, and their number; games without any go. The list is the document that is asked for: as long as a game's
+    players are many."""
+    who = T(s, d, "customer").select(F.col("c_nationkey").alias("nation"), F.struct((-F.col("c_acctbal")).alias("by"), "c_custkey").alias("p"))
+    games = who.groupBy("nation").agg(F.count("*").alias("players"), F.sort_array(F.collect_list("p")).alias("log"))
+    return games.select("nation", "players", F.array_join(F.transform("log", lambda x: x["c_custkey"].cast("string")), ",").alias("listed"))
 
 
 @query("SELECT user_id, round(avg(value - 40), 3) AS avg_diff, round(avg((value - 40) / 40 * 100), 2) AS avg_pct, round(avg(CASE WHEN value > 40 THEN 1.0::DOUBLE ELSE 0 END), 4) AS rate, count(*) AS n FROM events GROUP BY 1")

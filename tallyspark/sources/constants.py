@@ -1,4 +1,4 @@
-"""Small inline tables: team ids, and the panels' sample rows."""
+"""Small inline tables: team ids, and a panel's sample rows."""
 
 from __future__ import annotations
 
@@ -11,12 +11,6 @@ TEAM_IDS = {
     "HOU": 1610612745, "IND": 1610612754, "LAC": 1610612746, "LAL": 1610612747, "MEM": 1610612763, "MIA": 1610612748, "MIL": 1610612749, "MIN": 1610612750, "NOP": 1610612740, "NYK": 1610612752,
     "OKC": 1610612760, "ORL": 1610612753, "PHI": 1610612755, "PHX": 1610612756, "POR": 1610612757, "SAC": 1610612758, "SAS": 1610612759, "TOR": 1610612761, "UTA": 1610612762, "WAS": 1610612764,
 }
-#: Type, points, percent, rank.
-PLAY_TYPES = [
-    ("Transition", "7 (27%)", "27%", 12), ("Free Throws", "4.1 (16%)", "16%", 16), ("PNR Ball Handler", "2.6 (10%)", "10%", 28), ("Spot Up", "2.6 (10%)", "10%", 14), ("Isolation", "2.4 (9%)", "9%", 2), ("Post Up", "2.3 (9%)", "9%", 2),
-]
-#: Type, percentage, attempts, width.
-SHOT_TYPES = [("C&S", 14, 13, 16), ("< 10 ft", 52, 19, 50), ("Pull Up", 34, 13, 34)]
 #: Date, team, player, line, result, difference in percent.
 SIMILAR_GAMES = [
     ("Jan 19", "Pacers", "P. Siakam", 23.5, 24.0, 2), ("Jan 12", "Raptors", "S. Barnes", 18.5, 15.0, -19), ("Jan 11", "Raptors", "S. Barnes", 20.5, 31.0, 51), ("Dec 30", "Grizzlies", "J. Jackson Jr.", 19.5, 15.0, -23),
@@ -28,14 +22,6 @@ def team_ids(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(TEAM_IDS.items()), "team string, team_id bigint")
 
 
-def play_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PLAY_TYPES, "type string, points string, percent string, rank int")
-
-
-def shot_types(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(SHOT_TYPES, "type string, percentage int, attempts int, width int")
-
-
 def similar_games(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(SIMILAR_GAMES, "date string, team string, player string, line double, result double, diff_percent int")
 

@@ -69,6 +69,42 @@ def test_best_match_misses_none(spark, cutoff):
     assert {r["name"]: (r["candidate"], r["score"]) for r in got} == want and len(want) > 10
 
 
+@pytest.mark.parametrize("cutoff, by_tokens, most", [(85.0, False, 0.005), (70.0, True, 0.065)])
+def test_few_candidates_meet(spark, cutoff, by_tokens, most):
+    """Of 1,500 generated names on either side (of 38 given names: 1.4 shared pairs of characters for each pair of names), few rows leave the join,
+    and a name that is like enough is among them."""
+    import random
+
+    rng = random.Random(1)
+    given = "james john robert michael william david richard joseph thomas charles daniel matthew anthony steven andrew kenneth george edward brian kevin jason gary mary patricia jennifer linda elizabeth barbara susan jessica sarah karen".split()
+    part = lambda: rng.choice("b br c ch d f g gr h j k l m n p r s sch st t tr v w z".split()) + rng.choice("a e i o u ai ee ou".split())
+    name = lambda: f"{rng.choice(given)} {''.join(part() for _ in range(rng.choice([1, 2, 2])))}{rng.choice(['n', 'r', 's', 'ck', 'son', 'ton', 'man', 'berg', ''])}"
+    known = list(dict.fromkeys(name() for _ in range(1700)))[:1500]
+    names = [x[:-1] if k % 2 else x.replace("e", "a", 1) for k, x in enumerate(known[:750])] + [name() for _ in range(750)]
+    df = spark.createDataFrame([(b, k) for k, b in enumerate(known)], "candidate string, ord int")
+    met = frames.candidates(spark.createDataFrame([(a,) for a in names], "name string"), df, cutoff, by_tokens)
+    rows_met = met.count()
+    assert rows_met < most * 1500 * 1500
+    if not by_tokens:
+        pairs = {(r["name"], r["candidate"]) for r in met.select("name", "candidate").distinct().collect()}
+        assert all((a, b) in pairs for a, b in zip(names[:750], known[:750]) if indel(a, b) >= cutoff)
+
+
+def test_many_players_of_one_name(spark):
+    """A third of all players and props have one name: every prop meets a row for each team that it names, not every player."""
+    from pyspark.sql import functions as F
+
+    n = 6000
+    who = F.when(F.col("id") % 3 == 0, "Same Name").otherwise(F.concat(F.lit("Player "), F.hex(F.xxhash64("id"))))
+    base = spark.range(n).select(F.col("id"), who.alias("name"), (F.col("id") % 30).cast("string").alias("team"))
+    players = base.select(F.col("id").alias("player_id"), "name", "team", F.col("id").alias("ord"))
+    props = base.select(F.col("id").alias("prop_id"), "name", F.when(F.col("id") % 2 == 0, F.col("team")).otherwise("ZZZ").alias("team"), F.array(F.lit("UNK"), F.lit(None)).alias("team_options"))
+    df = frames.resolve(props, players)
+    got = {r["prop_id"]: r["player_id"] for r in df.collect()}
+    assert len(got) == n and all(got[k] == (k if k % 3 else k % 30 if k % 2 == 0 else 0) for k in range(n))
+    assert frames.first_players(players.withColumnRenamed("name", "candidate")).where("candidate = 'Same Name'").count() == 11
+
+
 def test_scores_of_any_length(spark):
     names = ["", "a", "ab", "alex sarr", "alexandre sarr", "x" * 61, "x" * 62, "ab" * 40, "abc" * 40, "y" + "x" * 63]
     pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
@@ -193,4 +229,4 @@ def test_inline_tables(spark):
 
     games = constants.similar_games(spark).withColumn("made", constants.diff_percent(F.col("line"), F.col("result")))
     assert games.count() == 8 and games.where("made <> diff_percent").isEmpty()
-    assert constants.team_ids(spark).select("team_id").distinct().count() == 30 and constants.play_types(spark).count() == 6 and constants.shot_types(spark).agg(F.sum("percentage")).first()[0] == 100
+    assert constants.team_ids(spark).select("team_id").distinct().count() == 30
