@@ -10,13 +10,16 @@ from tallyspark.operators.frames import last_write, latest, resolve, shares_to_h
 
 #: A prop's name in the odds rows, and its statistic.
 PROP_STATS = {"points": "pts", "rebounds": "reb", "assists": "ast", "threes": "fg3m", "steals": "stl", "blocks": "blk", "turnovers": "tov", "pra": "pts+reb+ast", "pr": "pts+reb", "pa": "pts+ast", "ra": "reb+ast", "stocks": "stl+blk"}
+#: Statistics whose props are named otherwise in the rows as they are landed; they keep that name in upper case with `compat`.
+LATER = ["turnovers"]
 #: Combined statistics, and what they are sums of.
 COMBOS = {"PTS+REB+AST": ["PTS", "REB", "AST"], "PTS+REB": ["PTS", "REB"], "PTS+AST": ["PTS", "AST"], "REB+AST": ["REB", "AST"], "STL+BLK": ["STL", "BLK"]}
 PRICE = "struct<line: double, over: int, under: int, implied: double>"
 
 
-def stat_of(prop: Column) -> Column:
-    known = F.create_map(*(F.lit(x) for pair in PROP_STATS.items() for x in pair))
+def stat_of(prop: Column, compat: bool = False) -> Column:
+    """The statistic of a prop, or its own name, in upper case. With `compat`, turnovers is TURNOVERS, which no look-up finds."""
+    known = F.create_map(*(F.lit(x) for k, v in PROP_STATS.items() if not (compat and k in LATER) for x in (k, v)))
     return F.upper(F.coalesce(F.try_element_at(known, prop), prop))
 
 
@@ -30,8 +33,9 @@ def with_combos(rows: DataFrame) -> DataFrame:
 
 
 def zone_map(zones: DataFrame) -> DataFrame:
-    """name and its zones as a map to whole percentages (adding up to 100) and makes, from (name, zone, ord, n, makes)."""
-    shares = shares_to_hundred(zones, "name", "zone", F.col("ord"), F.col("n")).join(zones.select("name", "zone", "makes"), ["name", "zone"])
+    """name and its zones as a map to whole percentages and makes, from (name, zone, ord, n, makes): of the zones' own sum, or of `total`, where
+    there is such a column (a name whose total is 0 has no zones)."""
+    shares = shares_to_hundred(zones, "name", "zone", F.col("ord"), F.col("n"), F.col("total") if "total" in zones.columns else None).join(zones.select("name", "zone", "makes"), ["name", "zone"])
     said = F.struct(F.concat(F.col("pct").cast("string"), F.lit("%")).alias("percentage"), F.col("makes").cast("long").cast("string").alias("makes"))
     return shares.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("zone", said))).alias("zones"))  # five or six zones a name
 

@@ -40,10 +40,16 @@ def upsert_recent(old: DataFrame, new: DataFrame, day: str, key: str, order: Seq
     return latest(replace_by(old, new, day), key, order, n)
 
 
-def shares_to_hundred(df: DataFrame, key: str, part: str, order: Column, n: Column) -> DataFrame:
-    """Largest remainders: whole percentages of each key's parts that add up to 100; ties go by `order`."""
+def shares_to_hundred(df: DataFrame, key: str, part: str, order: Column, n: Column, total: Column | None = None) -> DataFrame:
+    """Largest remainders: whole percentages of each key's parts that add up to 100; ties go by `order`.
+
+    Shares are of the parts' own sum, or of `total`, which is one value for each key and need not be that sum: keys whose total is 0 or null go, and
+    what the whole percentages lack of 100 goes to the largest remainders, one each. Where they lack more than there are parts, every part gets
+    one and the sum stays under 100; where they have more than 100 already, none does."""
     whole = Window.partitionBy(key)
-    rows = df.withColumn("raw", n.cast("double") / F.sum(n.cast("double")).over(whole) * 100).withColumn("base", F.floor("raw").cast("int"))
+    rows = df if total is None else df.where(F.coalesce(total, F.lit(0)) != 0)
+    of = F.sum(n.cast("double")).over(whole) if total is None else total.cast("double")
+    rows = rows.withColumn("raw", n.cast("double") / of * 100).withColumn("base", F.col("raw").cast("int"))
     rank = F.row_number().over(whole.orderBy((F.col("raw") - F.col("base")).desc(), order))
     short = 100 - F.sum("base").over(whole)
     return rows.withColumn("pct", (F.col("base") + F.when(rank <= short, 1).otherwise(0)).cast("int")).select(key, part, "pct")

@@ -49,6 +49,19 @@ def zone_halves(s, d):
     return feed.zone_map(zones).select(F.col("name").alias("o_custkey"), F.explode("zones").alias("zone", "z")).select("o_custkey", "zone", "z.percentage", "z.makes")
 
 
+@query("""WITH g AS (SELECT o_custkey, count(*) FILTER (o_orderpriority = '1-URGENT') AS rim, count(*) FILTER (o_orderpriority = '2-HIGH') AS mid, count(*) FILTER (o_orderpriority = '3-MEDIUM') AS c3, count(*) FILTER (o_orderpriority = '5-LOW') AS arc, count(*) FILTER (o_totalprice > 150000) + o_custkey % 5 AS total FROM orders GROUP BY 1),
+z AS (SELECT o_custkey AS k, total, unnest([0, 1, 2, 3, 4]) AS o, unnest(['restricted_area', 'mid_range', 'left_corner', 'right_corner', 'top_key']) AS zone, unnest([rim::DOUBLE, mid::DOUBLE, c3 / 2, c3 / 2, arc::DOUBLE]) AS n FROM g WHERE total <> 0),
+f AS (SELECT *, n / total::DOUBLE * 100 AS raw FROM z), i AS (SELECT *, CAST(floor(raw) AS INTEGER) AS ip FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY raw - ip DESC, o) AS rk, 100 - sum(ip) OVER (PARTITION BY k) AS short FROM i)
+SELECT k AS o_custkey, zone, CAST(ip + CASE WHEN rk <= short THEN 1 ELSE 0 END AS INTEGER) || '%' AS percentage, CAST(CAST(floor(n) AS BIGINT) AS VARCHAR) AS makes FROM r""")
+def assist_shares(s, d):
+    """Five zones as percentages of a total of its own, which is over or under their sum."""
+    count = lambda *kinds: F.sum(F.when(F.col("o_orderpriority").isin(*kinds), 1).otherwise(0))
+    total = F.sum(F.when(F.col("o_totalprice") > 150000, 1).otherwise(0)) + F.first("o_custkey") % 5
+    sums = T(s, d, "orders").groupBy(F.col("o_custkey").alias("name")).agg(count("1-URGENT").alias("rim"), count("2-HIGH").alias("mid"), count("3-MEDIUM").alias("corner3"), count("5-LOW").alias("arc3"), total.alias("total"))
+    zones = sums.select("name", "total", F.inline(stats.halves(*map(F.col, ("rim", "mid", "corner3", "arc3")))))
+    return feed.zone_map(zones).select(F.col("name").alias("o_custkey"), F.explode("zones").alias("zone", "z")).select("o_custkey", "zone", "z.percentage", "z.makes")
+
+
 @query("""SELECT l_suppkey, ra + pa + mi + lc + rc + ab AS total, ra AS first_zone FROM (SELECT l_suppkey, sum(CASE WHEN l_linenumber = 1 THEN l_quantity ELSE 0 END) AS ra, sum(CASE WHEN l_linenumber = 2 THEN l_quantity ELSE 0 END) AS pa, sum(CASE WHEN l_linenumber = 3 THEN l_quantity ELSE 0 END) AS mi,
 sum(CASE WHEN l_linenumber = 4 THEN l_quantity ELSE 0 END) AS lc, sum(CASE WHEN l_linenumber = 5 THEN l_quantity ELSE 0 END) AS rc, sum(CASE WHEN l_linenumber = 6 THEN l_quantity ELSE 0 END) AS ab FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-02-01' AND l_returnflag = 'R' GROUP BY 1) WHERE ra + pa + mi + lc + rc + ab <> 0""")
 def zone_totals(s, d):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
+from tallyspark.operators.feed import stat_of
 from tallyspark.plans.registry import query
 from tallyspark.sources.odds import STOPS, prop_type, strict_pair
 from tallyspark.sources.tables import parquet as T
@@ -30,12 +31,12 @@ def list_literal(s, d):
     return T(s, d, "part").select("p_partkey", F.size(S.listed(text)).alias("n"), F.array_join(S.listed(text), "|").alias("teams"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'steals' WHEN p_size % 4 = 1 THEN 'points' WHEN p_size % 4 = 2 THEN 'unknown_prop' ELSE replace(lower(p_type || ' x'), ' ', '_') END AS prop FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'stocks' WHEN p_size % 4 = 1 THEN 'points' WHEN p_size % 4 = 2 THEN 'unknown_prop' ELSE replace(lower(p_type || ' x'), ' ', '_') END AS prop, CASE WHEN p_size % 4 = 0 THEN 'steals' WHEN p_size % 4 = 1 THEN 'points' WHEN p_size % 4 = 2 THEN 'unknown_prop' ELSE replace(lower(p_type || ' x'), ' ', '_') END AS compat FROM part")
 def prop_kind(s, d):
-    """The first key that a prop's name contains, in the table's order; steals and blocks together are steals."""
+    """The key that a prop's name contains: the longest, or with compat the first in the table's order, so that steals and blocks are steals."""
     k = F.col("p_size") % 4
     said = F.when(k == 0, "Steals + Blocks").when(k == 1, "1st Qtr Points").when(k == 2, "").otherwise(F.concat("p_type", F.lit(" x")))
-    return T(s, d, "part").select("p_partkey", prop_type(said).alias("prop"))
+    return T(s, d, "part").select("p_partkey", prop_type(said).alias("prop"), prop_type(said, compat=True).alias("compat"))
 
 
 @query("""SELECT user_id, day, max(CASE WHEN event_type = 'click' THEN value END) AS over_value, max(CASE WHEN event_type = 'view' THEN value END) AS under_value FROM (SELECT user_id, ts::DATE AS day, event_type, value FROM events)
@@ -48,3 +49,11 @@ def market_pairs_strict(s, d):
     runner = lambda x: F.struct(F.struct(F.col(f"{x}.kind").alias("type")).alias("result"), F.col(f"{x}.value").alias("handicap"))
     over, under = strict_pair(F.array(runner("a"), runner("b")))
     return ends.select("user_id", "day", over["handicap"].alias("over_value"), under["handicap"].alias("under_value")).where("over_value is not null and under_value is not null")
+
+
+@query("SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'TOV' WHEN 'view' THEN 'PTS' ELSE upper(event_type) END AS stat, CASE event_type WHEN 'click' THEN 'TURNOVERS' WHEN 'view' THEN 'PTS' ELSE upper(event_type) END AS compat FROM events")
+def stat_keys(s, d):
+    """The statistic of a prop; turnovers keep their own name with compat."""
+    kind = F.col("event_type")
+    prop = F.when(kind == "click", "turnovers").when(kind == "view", "points").otherwise(kind)
+    return T(s, d, "events").select("user_id", "event_id", stat_of(prop).alias("stat"), stat_of(prop, compat=True).alias("compat"))

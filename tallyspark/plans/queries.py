@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import scalars as S
 from tallyspark.operators import frames as O
+from tallyspark.operators.refresh import recent, refresh
 from tallyspark.plans.registry import ORACLES, QUERIES, query  # noqa: F401
 from tallyspark.sources.tables import parquet as T
+from tallyspark.sources.tables import scratch
 
 
 def day():
@@ -106,6 +108,19 @@ def recency_upsert(s, d):
     return O.upsert_recent(ev, new, "day", "user_id", newest()).select("event_id", "user_id", "value", "rn")
 
 
+@query(f"""WITH e AS (SELECT *, ts::DATE AS day FROM events), c AS (SELECT user_id, day, count(*) AS clicks FROM e WHERE event_type = 'click' GROUP BY ALL),
+m AS (SELECT event_id, user_id, ts, CASE WHEN day >= DATE '2024-01-20' THEN value * 2 ELSE value END AS value, coalesce(clicks, 0) AS clicks FROM e LEFT JOIN c USING (user_id, day) WHERE day < DATE '{AS_OF[:10]}')
+SELECT event_id, user_id, value, clicks, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS rn FROM m QUALIFY rn <= 35""")
+def refresh_by_day(s, d):
+    """A table by day, filled up to one day and brought up to another: missed days and those of the last five are written again, others stay."""
+    log = T(s, d, "events").select("event_id", "user_id", "ts", "value", "event_type", day())
+    clicks = log.where("event_type = 'click'").groupBy("user_id", "day").agg(F.count("*").alias("clicks"))
+    path = scratch(s, "log")
+    refresh(s, path, log.where("day < date '2024-01-20'"), clicks, "2024-01-20 12:00:00", "day", ("user_id", "day"))
+    refresh(s, path, log.withColumn("value", F.col("value") * 2), clicks, AS_OF, "day", ("user_id", "day"))
+    return recent(s, path, "user_id", newest()).select("event_id", "user_id", "value", "clicks", "rn")
+
+
 @query("SELECT DISTINCT strftime(ts, '%m/%d/%Y') AS date_str FROM events")
 def distinct_dates(s, d):
     return T(s, d, "events").select(F.date_format("ts", "MM/dd/yyyy").alias("date_str")).distinct()

@@ -81,13 +81,14 @@ def parse_or_raw(s, d):
     return T(s, d, "events").select("event_id", at.isNotNull().alias("parsed"), F.when(at.isNotNull(), F.date_format(at, "hh:mm a 'ET'")).otherwise(raw).alias("said"))
 
 
-@query("SELECT p_partkey, CASE WHEN contains(p_name, 'ring') THEN 'RNG' WHEN contains(p_name, 'bolt') THEN 'BLT' WHEN contains(p_name, 'old') THEN 'OLD' ELSE 'UNK' END AS team FROM part")
+@query("SELECT p_partkey, CASE WHEN contains(p_name, 'spring') THEN 'SPR' WHEN contains(p_name, 'ring') THEN 'RNG' WHEN contains(p_name, 'bolt') THEN 'BLT' WHEN contains(p_name, 'old') THEN 'OLD' ELSE 'UNK' END AS team, CASE WHEN contains(p_name, 'ring') THEN 'RNG' WHEN contains(p_name, 'bolt') THEN 'BLT' WHEN contains(p_name, 'old') THEN 'OLD' ELSE 'UNK' END AS compat FROM part")
 def slug_team(s, d):
-    """The first key, in order, in the last part of an address, whatever its other parts hold."""
+    """The longest key, or with compat the first in order, in the last part of an address, whatever its other parts hold."""
     from tallyspark.sources.odds import team_of
 
+    keys = {"ring": "RNG", "bolt": "BLT", "old": "OLD", "spring": "SPR"}
     logo = F.concat(F.lit("https://x/bolt/"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_jersey.png"))
-    return T(s, d, "part").select("p_partkey", team_of(logo, {"ring": "RNG", "bolt": "BLT", "old": "OLD"}).alias("team"))
+    return T(s, d, "part").select("p_partkey", team_of(logo, keys).alias("team"), team_of(logo, keys, compat=True).alias("compat"))
 
 
 @query("SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'PTS' WHEN '2-HIGH' THEN 'PTS+AST' ELSE 'PTS' END AS stat FROM orders")

@@ -40,13 +40,23 @@ TEAMS = {
 }
 
 
-def team_of(logo: Column, teams: dict[str, str] = TEAMS) -> Column:
-    """The team whose name is in the last part of a logo's address; UNK for none."""
+def longest_first(table: dict[str, str]) -> dict[str, str]:
+    """The table with longer keys first, so that none is hidden by a key that it contains."""
+    return dict(sorted(table.items(), key=lambda kv: -len(kv[0])))
+
+
+def team_of(logo: Column, teams: dict[str, str] = TEAMS, compat: bool = False) -> Column:
+    """The team whose name is in the last part of a logo's address; UNK for none. With `compat`, names are looked for in the table's order, in
+    which nets comes before hornets."""
+    teams = teams if compat else longest_first(teams)
     slug = F.lower(F.replace(F.replace(F.element_at(F.split(logo, "/"), -1), F.lit(".png"), F.lit("")), F.lit("_jersey"), F.lit("")))
     return F.coalesce(S.first_contained(slug, teams, F.lit("UNK")), F.lit("UNK"))
 
 
-def prop_type(said: Column, table: dict[str, str] = PROP_TYPES) -> Column:
+def prop_type(said: Column, table: dict[str, str] = PROP_TYPES, compat: bool = False) -> Column:
+    """The prop that a market's name contains, or that name. With `compat`, names are looked for in the table's order, in which steals comes before
+    steals + blocks."""
+    table = table if compat else longest_first(table)
     low = F.lower(F.trim(said))
     return F.when(F.coalesce(said, F.lit("")) == "", F.lit("unknown_prop")).otherwise(S.first_contained(low, table, F.replace(low, F.lit(" "), F.lit("_"))))
 
@@ -114,7 +124,7 @@ def strict_pair(runners: Column) -> tuple[Column, Column]:
     return of("OVER"), of("UNDER")
 
 
-def book_b(pages: DataFrame, events: DataFrame, as_of: str) -> DataFrame:
+def book_b(pages: DataFrame, events: DataFrame, as_of: str, compat: bool = False) -> DataFrame:
     """Odds rows of book B's tab pages (with event_id): markets of exactly two runners, an over and an under one, named `player - prop`. An odds
     text that is no whole number is null."""
     over, under = strict_pair(F.col("m.runners"))
@@ -123,6 +133,6 @@ def book_b(pages: DataFrame, events: DataFrame, as_of: str) -> DataFrame:
     kept = markets.where(F.col("under").isNotNull() & F.col("over.handicap").isNotNull() & odds("over").isNotNull()).join(events.select("event_id", "game"), "event_id")
     name = F.col("m.marketName")
     return kept.select(
-        S.light_name(S.before_last(name, " - ")).alias("player"), team_of(F.col("over.secondaryLogo")).alias("team"), F.lit(None).cast("array<string>").alias("team_options"), prop_type(F.substring_index(name, " - ", -1)).alias("prop_type"),
+        S.light_name(S.before_last(name, " - ")).alias("player"), team_of(F.col("over.secondaryLogo"), compat=compat).alias("team"), F.lit(None).cast("array<string>").alias("team_options"), prop_type(F.substring_index(name, " - ", -1), compat=compat).alias("prop_type"),
         F.col("over.handicap").alias("line"), odds("over").try_cast("int").alias("over_odds"), odds("under").try_cast("int").alias("under_odds"), "game", F.lit(as_of).alias("game_date"), F.lit("fanduel").alias("sportsbook"),
     )

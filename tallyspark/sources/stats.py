@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.functions.scalars import guarded_ratio
 from tallyspark.sources.tables import csv_or_empty, json_or_empty, positional, result_set
 
 #: The game log's columns.
@@ -78,3 +79,36 @@ def halves(rim: Column, mid: Column, corner3: Column, arc3: Column) -> Column:
     """The five zones of assists as (zone, ord, n, makes): corner threes in equal halves, the left one first in ties."""
     values = [rim, mid, corner3 / 2, corner3 / 2, arc3]
     return F.array(*(F.struct(F.lit(z).alias("zone"), F.lit(i).alias("ord"), v.cast("double").alias("n"), v.cast("double").alias("makes")) for i, (z, v) in enumerate(zip(FIVE, values, strict=True))))
+
+
+def assist_zones(links: DataFrame) -> DataFrame:
+    """name and its five zones' makes (name, zone, ord, n, makes) with the links' own total, of which shares are taken."""
+    five = halves(*(F.col(c) for c in ("rim", "mid", "corner3", "arc3")))
+    return assist_totals(links).select("name", "total", F.inline(five))
+
+
+#: The season table's columns, and what each tracking feed adds.
+SEASON = "PLAYER_ID TEAM_ID PLAYER_NAME TEAM_ABBREVIATION AGE GP MIN PTS REB AST STL BLK TOV FG3M OREB DREB DD2 TD3 FGM FGA FG3A FTM FTA PF PFD PLUS_MINUS FG_PCT FG3_PCT FT_PCT".split()
+SEASON_TRACKING = {"Passing": ["POTENTIAL_AST", "PASSES_MADE"], "Drives": ["DRIVES", "DRIVE_PTS"], "Rebounding": ["REB_CHANCES", "REB_CONTEST_PCT"]}
+
+
+def season(base: DataFrame, tracking: dict[str, DataFrame]) -> DataFrame:
+    """The season table: base's columns that are in `SEASON`, the tracking feeds' by player and team, ratios and the additive score. Nulls are 0;
+    of a feed that is missing, all its columns are. Without base rows there are none."""
+    rows = base.select([c for c in SEASON if c in base.columns])
+    keys = ["PLAYER_ID", "TEAM_ID"]
+    for feed, cols in SEASON_TRACKING.items():
+        found = tracking.get(feed)
+        rows = rows.withColumns({c: F.lit(None).cast("double") for c in cols}) if found is None else rows.join(found.select(*keys, *cols), keys, "left")
+    rows = rows.na.fill(0)
+    zero = lambda c: F.col(c) if c in rows.columns else F.lit(0.0)
+    ratios = {"AST_CONVERSION_PCT": guarded_ratio(zero("AST"), zero("POTENTIAL_AST")), "REB_HUSTLE_PCT": guarded_ratio(zero("REB"), zero("REB_CHANCES"))}
+    return rows.withColumns(ratios | {"AGGRESSION_SCORE": zero("FGA") + zero("FTA") + zero("DRIVES")})
+
+
+def read_season(spark: SparkSession, path: str) -> DataFrame:
+    """The season table from landed folders `measure=Base`, `measure=Passing` and so on."""
+    kinds = {"PLAYER_ID": "bigint", "TEAM_ID": "bigint", "PLAYER_NAME": "string", "TEAM_ABBREVIATION": "string"}
+    base = result_set(spark, f"{path}/measure=Base", {c: kinds.get(c, "double") for c in SEASON})
+    feeds = {m: result_set(spark, f"{path}/measure={m}", {"PLAYER_ID": "bigint", "TEAM_ID": "bigint", **dict.fromkeys(cols, "double")}) for m, cols in SEASON_TRACKING.items()}
+    return season(base, feeds)

@@ -154,8 +154,21 @@ def test_book_b(spark, tmp_path):
     }
     put(tmp_path / "tabs/event_id=1/t.json", {"attachments": {"markets": markets}})
     got = odds.book_b(odds.read_book_b(spark, str(tmp_path / "tabs")), events, "2024-01-15").collect()
+    said = lambda rows: [(r["player"], r["team"], r["prop_type"], r["line"], r["over_odds"], r["under_odds"], r["game"]) for r in rows]
+    assert said(got) == [("jo smith jr - x", "CHA", "threes", 2.5, -110, None, "A @ B")]
     # nets stands before hornets in the table, and is in the word
-    assert [(r["player"], r["team"], r["prop_type"], r["line"], r["over_odds"], r["under_odds"], r["game"]) for r in got] == [("jo smith jr - x", "BKN", "threes", 2.5, -110, None, "A @ B")]
+    old = odds.book_b(odds.read_book_b(spark, str(tmp_path / "tabs")), events, "2024-01-15", compat=True).collect()
+    assert said(old) == [("jo smith jr - x", "BKN", "threes", 2.5, -110, None, "A @ B")]
+
+
+def test_compat(spark):
+    """Names that contain others are told by default; with compat the order of the table counts, as does a statistic's missing name."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("Steals + Blocks", "turnovers", "a/charlotte_hornets.png"), ("Pts + Reb", "points", "a/brooklyn_nets_jersey.png"), ("Steals", "x y", "a/b"), (None, None, None)], "p string, s string, logo string")
+    tell = lambda compat: rows(df.select(odds.prop_type(F.col("p"), compat=compat), feed.stat_of(F.col("s"), compat=compat), odds.team_of(F.col("logo"), compat=compat)))
+    assert tell(False) == [("stocks", "TOV", "CHA"), ("pr", "PTS", "BKN"), ("steals", "X Y", "UNK"), ("unknown_prop", None, "UNK")]
+    assert tell(True) == [("steals", "TURNOVERS", "BKN"), ("pr", "PTS", "BKN"), ("steals", "X Y", "UNK"), ("unknown_prop", None, "UNK")]
 
 
 def test_schedule(spark, tmp_path):
@@ -208,6 +221,31 @@ def test_zones(spark, tmp_path):
     assert rows(totals.select("name", "team_id", "rim", "mid", "corner3", "total")) == [("8", "1", 1.0, 1.0, 3.0, 1.0), ("Seven", "2", 1.0, 1.0, 3.0, 9.0)]
 
 
+def test_shares_of_a_total_of_its_own(spark, tmp_path):
+    """The zones of an assist link need not add up to its total: what is short goes to the largest remainders, one each; a total of 0 has no zones."""
+    link = lambda source, value, **k: {"source": source, "value": value, **k}
+    put(tmp_path / "g/team_id=1/x.json", {"results": {"nodes": [], "links": [link("even", 10, AtRim=5, Corner3=3, Arc3=2), link("short", 100, AtRim=10, Arc3=1), link("over", 4, AtRim=5, Corner3=3), link("none", 0, AtRim=5)]}})
+    zones = feed.zone_map(stats.assist_zones(stats.assists(spark, str(tmp_path / "g")))).collect()
+    got = {r["name"]: [(r["zones"][z]["percentage"], r["zones"][z]["makes"]) for z in stats.FIVE] for r in zones}
+    assert got == {
+        "even": [("50%", "5"), ("0%", "0"), ("15%", "1"), ("15%", "1"), ("20%", "2")], "short": [("11%", "10"), ("1%", "0"), ("1%", "0"), ("1%", "0"), ("2%", "1")],
+        "over": [("125%", "5"), ("0%", "0"), ("37%", "1"), ("37%", "1"), ("0%", "0")],
+    }
+
+
+def test_season(spark, tmp_path):
+    base = {"headers": ["PLAYER_ID", "TEAM_ID", "PLAYER_NAME", "AST", "REB", "FGA", "FTA", "EXTRA"], "rowSet": [[1, 10, "A", 5, 8, 10, 2.5, "x"], [1, 11, "A", 1, None, 3, 1, "x"], [2, 10, "B", 4, 1, None, 2, "x"]]}
+    put(tmp_path / "s/measure=Base/x.json", {"resultSets": [base]})
+    put(tmp_path / "s/measure=Passing/x.json", {"resultSets": [{"headers": ["PLAYER_ID", "TEAM_ID", "POTENTIAL_AST", "PASSES_MADE"], "rowSet": [[1, 10, 9, 40], [2, 10, 0, 1]]}]})
+    put(tmp_path / "s/measure=Rebounding/x.json", {"resultSets": [{"headers": ["PLAYER_ID", "TEAM_ID", "REB_CHANCES", "REB_CONTEST_PCT"], "rowSet": [[1, 10, 12, 0.5]]}]})
+    got = stats.read_season(spark, str(tmp_path / "s")).orderBy("PLAYER_ID", "TEAM_ID").select("PLAYER_NAME", "TEAM_ID", "PASSES_MADE", "DRIVES", "AST_CONVERSION_PCT", "REB_HUSTLE_PCT", "AGGRESSION_SCORE")
+    assert rows(got) == [("A", 10, 40.0, 0.0, 0.556, 0.667, 12.5), ("A", 11, 0.0, 0.0, 0.0, 0.0, 4.0), ("B", 10, 1.0, 0.0, 0.0, 0.0, 2.0)]
+    assert len(stats.read_season(spark, str(tmp_path / "s")).columns) == 38
+    assert stats.read_season(spark, str(tmp_path / "none")).count() == 0
+    few = stats.season(spark.createDataFrame([(1, 2, 3.0)], "PLAYER_ID long, TEAM_ID long, FGA double"), {})
+    assert rows(few.select("FGA", "DRIVES", "AST_CONVERSION_PCT", "AGGRESSION_SCORE")) == [(3.0, 0.0, 0.0, 3.0)]
+
+
 def test_feed(spark, players):
     season = players.select("player_id", "name", "team", "ord").toDF("PLAYER_ID", "PLAYER_NAME", "TEAM_ABBREVIATION", "ord").selectExpr("*", "if(PLAYER_ID = 5, 0D, 3D) as GP", "'7.5' as PTS")
     logs = spark.createDataFrame([(1, f"2024-01-{k:02}", f"g{k}", k) for k in range(1, 6)], "PLAYER_ID long, GAME_DATE string, GAME_ID string, PTS int")
