@@ -76,18 +76,30 @@ def read_book_a(spark: SparkSession, path: str) -> DataFrame:
     return json_or_empty(spark, path, BOOK_A, "prop_type")
 
 
+def _last_of_each(docs: DataFrame, name: str, entries: Column) -> DataFrame:
+    """docs with `name`, a map from id to the last of a list's entries (id, at, ...) with it. Sorted, an id's last entry is the one before another id."""
+    docs = docs.withColumn(name, F.array_sort(entries))
+    last = F.filter(name, lambda x, i: (i == F.size(name) - 1) | (F.get(F.col(name), i + 1)["id"] != x["id"]))
+    return docs.withColumn(name, F.map_from_entries(F.transform(last, lambda x: F.struct(x["id"], x))))
+
+
 def book_a(docs: DataFrame, as_of: str) -> DataFrame:
-    """Odds rows of book A's documents (with prop_type): markets with an over and an under selection; of several, the last of each counts."""
-    one = docs.select("*", F.monotonically_increasing_id().alias("doc"))
-    sel = one.select("doc", F.posexplode("selections").alias("pos", "s")).where("s.marketId is not null and s.marketId <> ''")
-    says = lambda word: F.contains(F.lower(F.coalesce("s.label", F.lit(""))), F.lit(word)) | F.contains(F.lower(F.coalesce("s.outcomeType", F.lit(""))), F.lit(word))
-    pick = lambda hit: F.max(F.when(hit, F.struct("pos", F.col("s.points").alias("line"), F.col("s.displayOdds.american").alias("odds"))))
-    sides = sel.groupBy("doc", F.col("s.marketId").alias("id")).agg(pick(says("over")).alias("over"), pick(~says("over") & says("under")).alias("under")).where("over is not null and under is not null and over.line is not null")
-    markets = one.select("doc", "prop_type", F.explode("markets").alias("m")).select("doc", "prop_type", "m.id", "m.name", "m.eventId")
-    events = one.select("doc", F.posexplode("events").alias("pos", "e")).groupBy("doc", F.col("e.id").alias("eventId")).agg(F.max(F.struct("pos", "e"))["e"].alias("e"))
-    met = markets.join(sides, ["doc", "id"]).join(events, ["doc", "eventId"], "left")
+    """Odds rows of book A's documents (with prop_type): markets with an over and an under selection; of several, the last of each counts.
+
+    All of it happens inside the document: its selections and events become maps, in which each market looks up its own, so nothing is shuffled."""
+    says = lambda s, word: F.contains(F.lower(F.coalesce(s["label"], F.lit(""))), F.lit(word)) | F.contains(F.lower(F.coalesce(s["outcomeType"], F.lit(""))), F.lit(word))
+    side = F.transform("selections", lambda s, i: F.struct(s["marketId"].alias("id"), i.alias("at"), s["points"].alias("line"), s["displayOdds"]["american"].alias("odds"), F.when(says(s, "over"), "over").when(says(s, "under"), "under").alias("side")))
+    docs = docs.select("prop_type", "markets", "events", F.filter(side, lambda x: x["id"] != "").alias("sides"))
+    for which in ("over", "under"):
+        docs = _last_of_each(docs, which, F.filter("sides", lambda x: x["side"] == which))
+    docs = _last_of_each(docs, "games", F.transform(F.filter("events", lambda e: e["id"].isNotNull()), lambda e, i: F.struct(e["id"].alias("id"), i.alias("at"), e.alias("e"))))
+    both = F.filter("markets", lambda m: F.map_contains_key("over", F.coalesce(m["id"], F.lit(""))) & F.map_contains_key("under", F.coalesce(m["id"], F.lit(""))))
+    # asked for its size too, the map of games is made once for the document, not for each market
+    game = lambda m: F.when(F.size("games") > 0, F.try_element_at("games", F.coalesce(m["eventId"], F.lit(""))))
+    met = F.transform(both, lambda m: F.struct(m["name"].alias("name"), F.try_element_at("over", m["id"]).alias("over"), F.try_element_at("under", m["id"]).alias("under"), game(m)["e"].alias("e")))
+    rows = docs.select("prop_type", F.inline(met)).where("over.line is not null")
     team = lambda k: F.coalesce(f"e.teamShortName{k}", F.lit("UNK"))
-    return met.select(
+    return rows.select(
         S.light_name(S.until_stop(F.coalesce("name", F.lit("")), STOPS)).alias("player"), F.lit("Unknown").alias("team"), F.array(team(1), team(2)).alias("team_options"), "prop_type", F.col("over.line").alias("line"),
         S.american_odds(F.col("over.odds")).alias("over_odds"), S.american_odds(F.col("under.odds")).alias("under_odds"), F.coalesce("e.name", F.lit("Unknown")).alias("game"),
         new_york_day(F.col("e.startEventDate"), as_of).alias("game_date"), F.lit("draftkings").alias("sportsbook"),

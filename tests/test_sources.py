@@ -138,9 +138,38 @@ def test_book_a(spark, tmp_path):
     assert [(r["player"], r["team"], r["team_options"], r["prop_type"], r["line"], r["over_odds"], r["under_odds"], r["game"], r["game_date"], r["sportsbook"]) for r in got] == [
         ("al", "Unknown", ["UNK", "UNK"], "points", 1.5, 0, 0, "Unknown", "2024-01-20", "draftkings"), ("lebron james", "Unknown", ["BOS", "LAL"], "points", 21.5, 100, -125, "A @ B", "2024-01-15", "draftkings"),
     ]
+    plan = odds.book_a(odds.read_book_a(spark, str(tmp_path / "a")), "2024-01-20")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "monotonically" not in plan
     assert odds.read_book_a(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_book_a_of_many_documents(spark, tmp_path):
+    """Each document's markets, selections and events meet within it: ids that others have too, repeated ids, empty and missing lists."""
+    import random
+
+    rng = random.Random(2)
+    want = []
+    for n in range(12):
+        events = [{"id": f"e{rng.randrange(4)}", "name": f"game {n} {k}"} for k in range(rng.randrange(4))]
+        markets = [{"id": f"m{rng.randrange(6)}", "name": f"Player {n} {k} Points", "eventId": f"e{rng.randrange(5)}"} for k in range(rng.randrange(8))]
+        sels = [{"marketId": rng.choice([f"m{rng.randrange(6)}", None, ""]), "label": rng.choice(["Over", "UNDER", "x", None]), "outcomeType": rng.choice(["over", "Under", "", None]), "points": rng.choice([1.5, 2.5, None])} for _ in range(rng.randrange(70))]
+        doc = {"events": events, "markets": markets, "selections": sels}
+        put(tmp_path / f"a/prop_type=p{n % 3}/{n}.json", {k: v for k, v in doc.items() if v or n % 2})
+        for m in markets:
+            over, under = None, None
+            for s in sels:
+                words = ((s["label"] or "") + " " + (s["outcomeType"] or "")).lower()
+                if s["marketId"] == m["id"] and "over" in words:
+                    over = s
+                elif s["marketId"] == m["id"] and "under" in words:
+                    under = s
+            if over and under and over["points"] is not None:
+                game = [e["name"] for e in events if e["id"] == m["eventId"]][-1:] or ["Unknown"]
+                want.append(("player", f"p{n % 3}", over["points"], game[0]))
+    got = odds.book_a(odds.read_book_a(spark, str(tmp_path / "a")), "2024-01-20").select("player", "prop_type", "line", "game")
+    assert sorted(rows(got)) == sorted(want) and len(want) > 5
+
+
 def test_book_b(spark, tmp_path):
     put(tmp_path / "main.json", {"attachments": {"events": {"1": {"eventId": "1", "name": "A @ B", "openDate": "2024-01-16T01:00:00Z"}, "2": {"eventId": "2", "name": "C @ D", "openDate": "2024-02-01"}, "3": {"eventId": "3", "name": "E @ F"}}}})
     events = odds.upcoming(odds.read_book_b_main(spark, str(tmp_path / "main.json")), "2024-01-15")
