@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 
 from pyspark.sql import Column
@@ -11,19 +12,31 @@ from pyspark.sql import functions as F
 SUFFIXES = ["jr", "sr", "ii", "iii", "iv", "v"]
 
 
-def _folds() -> tuple[str, str]:
-    """Characters whose compatibility decomposition has exactly one ASCII character, and that character."""
-    pairs = [(chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if ord(x) < 128)) for c in range(0x80, 0xD800)]
-    one = [(a, b) for a, b in pairs if len(b) == 1]
-    return "".join(a for a, _ in one), "".join(b for _, b in one)
+def _folds() -> tuple[str, str, str]:
+    """Characters whose compatibility decomposition has exactly one ASCII character (in the first plane), and that character; and all others that
+    have any, each with what it has, as the text of a map."""
+    every = ((chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if ord(x) < 128)) for c in (*range(0x80, 0xD800), *range(0xE000, sys.maxunicode + 1)))
+    pairs = [(a, b) for a, b in every if b]
+    one = [(a, b) for a, b in pairs if len(b) == 1 and a < "\ud800"]
+    rest = [(a, b) for a, b in pairs if len(b) != 1 or a >= "\ud800"]
+    return "".join(a for a, _ in one), "".join(b for _, b in one), "\x02".join(f"{a}\x01{b}" for a, b in rest)
 
 
-_FROM, _TO = _folds()
+_FROM, _TO, _REST = _folds()
+
+
+def ascii_fold(text: Column) -> Column:
+    """The ASCII characters of the text's compatibility decomposition. Only texts that hold anything else once single letters have lost their
+    accents are gone through character by character."""
+    plain = F.translate(text, _FROM, _TO)
+    rest = F.str_to_map(F.lit(_REST), F.lit("\x02"), F.lit("\x01"))  # a constant
+    letters = F.transform(F.split(plain, ""), lambda c: F.when(c < "\x80", c).otherwise(F.coalesce(F.try_element_at(rest, c), F.lit(""))))
+    return F.when(F.rlike(plain, F.lit(r"[^\x00-\x7F]")), F.array_join(letters, "")).otherwise(plain)
 
 
 def canonical_name(name: Column) -> Column:
     """Lower case, no accents, no other characters than ASCII, no periods or apostrophes, no suffix words; null gives ''."""
-    plain = F.regexp_replace(F.translate(F.lower(F.trim(F.coalesce(name, F.lit("")))), _FROM, _TO), r"[^\x00-\x7F]", "")
+    plain = ascii_fold(F.lower(F.trim(F.coalesce(name, F.lit("")))))
     return F.trim(F.regexp_replace(F.translate(plain, ".'", ""), rf"\b({'|'.join(SUFFIXES)})\b", ""))
 
 

@@ -40,10 +40,10 @@ def zone_map(zones: DataFrame) -> DataFrame:
     return shares.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("zone", said))).alias("zones"))  # five or six zones a name
 
 
-def props_map(odds: DataFrame) -> DataFrame:
+def props_map(odds: DataFrame, compat: bool = False) -> DataFrame:
     """player_id and props: statistic to book to price, of odds (player_id, prop_type, book, line, over_odds, under_odds, ord); the last row of a
     statistic and book counts."""
-    rows = last_write(odds.withColumn("stat", stat_of(F.col("prop_type"))), ["player_id", "stat", "book"], F.col("ord"))
+    rows = last_write(odds.withColumn("stat", stat_of(F.col("prop_type"), compat)), ["player_id", "stat", "book"], F.col("ord"))
     price = F.struct(F.col("line"), F.col("over_odds").alias("over"), F.col("under_odds").alias("under"), F.lit(0.0).alias("implied")).cast(PRICE)
     books = rows.groupBy("player_id", "stat").agg(F.map_from_entries(F.collect_list(F.struct("book", price))).alias("books"))
     return books.groupBy("player_id").agg(F.map_from_entries(F.collect_list(F.struct("stat", "books"))).alias("props"))
@@ -55,7 +55,7 @@ def price_of(props: Column, stat: str | Column, book: str | Column) -> Column:
     return F.struct(*(F.coalesce(found[k], F.lit(0).cast(t)).alias(k) for k, t in (("line", "double"), ("over", "int"), ("under", "int"))))
 
 
-def build(stats: DataFrame, logs: DataFrame, shooting: DataFrame, assists: DataFrame, odds: DataFrame, display: list[str], games: int = 35) -> DataFrame:
+def build(stats: DataFrame, logs: DataFrame, shooting: DataFrame, assists: DataFrame, odds: DataFrame, display: list[str], games: int = 35, compat: bool = False) -> DataFrame:
     """One row for each player (PLAYER_ID, PLAYER_NAME, TEAM_ABBREVIATION, ord and statistics) with props or games played (GP).
 
     logs: PLAYER_ID, GAME_DATE and more; the latest `games` stay. shooting (name, zones) is met by the raw name, assists (name, zones, ord) by the
@@ -70,7 +70,7 @@ def build(stats: DataFrame, logs: DataFrame, shooting: DataFrame, assists: DataF
     named = resolve(assists.select(F.col("name").alias("prop_id"), "name", F.lit("UNK").alias("team"), none.alias("team_options")), known)
     zones = last_write(named.join(assists.withColumnRenamed("name", "prop_id"), "prop_id"), ["player_id"], F.col("ord")).select(F.col("player_id").alias("id"), F.col("zones").alias("assist_zones"))
     priced = resolve(odds.select("prop_id", F.col("player").alias("name"), "team", "team_options"), known).join(odds, "prop_id")
-    props = props_map(priced.select("player_id", "prop_type", "book", "line", "over_odds", "under_odds", "ord")).withColumnRenamed("player_id", "id")
+    props = props_map(priced.select("player_id", "prop_type", "book", "line", "over_odds", "under_odds", "ord"), compat).withColumnRenamed("player_id", "id")
     met = base.join(log, "id", "left").join(shooting.select("name", F.col("zones").alias("shooting_zones")), "name", "left").join(zones, "id", "left").join(props, "id", "left")
     props_or_none = F.coalesce("props", F.create_map().cast(f"map<string, map<string, {PRICE}>>"))
     empty_log = F.array().cast(met.schema["game_log"].dataType)

@@ -55,39 +55,27 @@ def shares_to_hundred(df: DataFrame, key: str, part: str, order: Column, n: Colu
     return rows.withColumn("pct", (F.col("base") + F.when(rank <= short, 1).otherwise(0)).cast("int")).select(key, part, "pct")
 
 
-def _pairs_of(x: Column) -> Column:
-    """The pairs of neighbouring characters with their places, with a mark at either end."""
-    marked = F.concat(F.lit("\x02"), x, F.lit("\x03"))
-    return F.transform(F.sequence(F.lit(1), F.length(marked) - 1), lambda i: F.struct(F.substring(marked, i, F.lit(2)).alias("gram"), i.alias("at")))
-
-
-def _letters(x: Column) -> Column:
-    """Two words of 64 bits with a bit for each letter and how often it came before: bits that only one of two names has are letters that the
-    other lacks (letters that share a bit only make them fewer)."""
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-
-    def step(s: Column, c: Column) -> Column:
-        nth = F.when(c == s["last"], s["nth"] + 1).otherwise(0)
-        bit = F.call_function("shiftleft", one, ((F.floor(F.ascii(c) / 2) * 5 + nth * 13) % 64).cast("int"))
-        even = F.ascii(c) % 2 == 0
-        return F.struct(c.alias("last"), nth.alias("nth"), F.when(even, s["x"].bitwiseOR(bit)).otherwise(s["x"]).alias("x"), F.when(even, s["y"]).otherwise(s["y"].bitwiseOR(bit)).alias("y"))
-
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("nth"), none.alias("x"), none.alias("y"))
-    chars = F.array_sort(F.filter(F.split(x, ""), lambda c: c != ""))
-    return F.aggregate(chars, start, step, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
-
-
-def _rarest(rows: DataFrame, key: str, form: str, frequency: DataFrame, broken: float) -> DataFrame:
+#: The pairs of neighbouring characters of {0} with their places, with a mark at either end.
+_PAIRS = "transform(sequence(1, length({0}) + 1), i -> struct(substring(concat('\x02', {0}, '\x03'), i, 2) as gram, i as at))"
+#: Two words of 64 bits with a bit for each letter of {0} and how often it came before: bits that only one of two names has are letters that the
+#: other lacks (letters that share a bit only make them fewer).
+_LETTERS = """aggregate(array_sort(filter(split({0}, ''), c -> c <> '')), struct('' as last, 0 as nth, 0L as x, 0L as y),
+    (s, c) -> named_struct('last', c, 'nth', if(c = s.last, s.nth + 1, 0),
+        'x', if(ascii(c) % 2 = 0, s.x | shiftleft(1L, cast((ascii(c) div 2 * 5 + if(c = s.last, s.nth + 1, 0) * 13) % 64 as int)), s.x),
+        'y', if(ascii(c) % 2 = 1, s.y | shiftleft(1L, cast((ascii(c) div 2 * 5 + if(c = s.last, s.nth + 1, 0) * 13) % 64 as int)), s.y)), s -> struct(s.x as x, s.y as y))"""
+#: What x and y can share on one side of the pair, or in the whole: the shorter side, less the letters that the other lacks.
+_SHARED = "least(x.{0}.n - bit_count(x.{0}.has.x & ~y.{0}.has.x) - bit_count(x.{0}.has.y & ~y.{0}.has.y), y.{0}.n - bit_count(y.{0}.has.x & ~x.{0}.has.x) - bit_count(y.{0}.has.y & ~x.{0}.has.y))"
+
+
+def _rarest(rows: DataFrame, form: str, frequency: DataFrame, broken: float) -> DataFrame:
     """A row for each of a name's rarest pairs, one more than `broken` of its length: gram, its rank from 0, n, and of what stands left and right of
     it, and of the whole name, the length and the letters."""
-    each = rows.select(key, F.explode(_pairs_of(F.col(form))).alias("p")).select(key, "p.gram", "p.at").join(frequency, "gram", "left")
-    first = each.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "at"))).alias("rare"))
-    n = F.length(form)
-    kept = rows.join(first, key).select(*rows.columns, n.alias("n"), F.posexplode(F.slice("rare", F.lit(1), F.floor(F.lit(broken + 1e-9) * n).cast("int") + 1)).alias("rank", "p"))
-    kept = kept.select("*", "p.gram", "p.at")
-    left, right = F.substring(form, F.lit(1), F.col("at") - 2), F.substring(form, F.col("at") + 1, n)
-    side = lambda x: F.struct(F.length(x).alias("n"), _letters(x).alias("has"))
-    return kept.select(*rows.columns, "n", "gram", "rank", side(F.col(form)).alias("whole"), side(F.when(F.col("at") > 2, left).otherwise("")).alias("left"), side(right).alias("right"))
+    each = rows.select("*", F.expr(f"inline({_PAIRS.format(form)})")).join(frequency, "gram", "left")
+    first = each.groupBy(*rows.columns).agg(F.expr("sort_array(collect_list(struct(coalesce(n, 0) as n, gram, at))) as rare"))
+    kept = first.select(*rows.columns, F.expr(f"posexplode(slice(rare, 1, int(floor({broken + 1e-9}D * length({form}))) + 1)) as (rank, p)"))
+    side = lambda x, name: F.expr(f"struct(length({x}) as n, {_LETTERS.format(x)} as has) as {name}")
+    left, right = f"if(p.at > 2, substring({form}, 1, p.at - 2), '')", f"substring({form}, p.at + 1)"
+    return kept.select(*rows.columns, F.length(form).alias("n"), "p.gram", "rank", side(form, "whole"), side(left, "left"), side(right, "right"))
 
 
 def candidates(names: DataFrame, known: DataFrame, cutoff: float, by_tokens: bool = False) -> DataFrame:
@@ -106,20 +94,12 @@ def candidates(names: DataFrame, known: DataFrame, cutoff: float, by_tokens: boo
     form = sorted_tokens if by_tokens else (lambda x: x)
     left = names.select("name").distinct().select("name", form(F.col("name")).alias("a")).where("length(a) > 0")
     right = known.select("candidate", "ord", form(F.col("candidate")).alias("b")).where("length(b) > 0")
-    grams = F.array_distinct(F.transform(_pairs_of(F.col("b")), lambda p: p["gram"]))
-    frequency = right.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
-    x, y = _rarest(left, "name", "a", frequency, broken).alias("x"), _rarest(right, "candidate", "b", frequency, broken).alias("y")
-
-    def lacks(p: str, q: str, side: str) -> Column:
-        return sum((F.bit_count(F.col(f"{p}.{side}.has.{w}").bitwiseAND(F.bitwise_not(F.col(f"{q}.{side}.has.{w}")))) for w in "xy"), F.lit(0))
-
-    def shared(side: str) -> Column:
-        return F.least(F.col(f"x.{side}.n") - lacks("x", "y", side), F.col(f"y.{side}.n") - lacks("y", "x", side))
-
-    own = F.length(F.translate("x.gram", "\x02\x03", ""))
-    both = F.col("x.n") + F.col("y.n")
-    by_rank = F.least(F.col("x.n") - F.col("x.rank"), F.col("y.n") - F.col("y.rank")) + both
-    enough = F.least((shared("left") + own + shared("right")) * 3, shared("whole") * 3, by_rank) * 200 >= F.lit(3 * cutoff - 1e-9) * both
+    frequency = right.select(F.expr(f"explode(array_distinct(transform({_PAIRS.format('b')}, p -> p.gram))) as gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    x, y = _rarest(left, "a", frequency, broken).alias("x"), _rarest(right, "b", frequency, broken).alias("y")
+    own = "length(translate(x.gram, '\x02\x03', ''))"
+    sides = f"3 * ({_SHARED.format('left')} + {own} + {_SHARED.format('right')})"
+    by_rank = "least(x.n - x.rank, y.n - y.rank) + x.n + y.n"
+    enough = F.expr(f"200 * least({sides}, 3 * {_SHARED.format('whole')}, {by_rank}) >= {3 * cutoff - 1e-9}D * (x.n + y.n)")
     return x.join(y, (F.col("x.gram") == F.col("y.gram")) & enough).select("name", "a", "candidate", "b", "ord")
 
 

@@ -125,6 +125,22 @@ def test_names(spark):
     assert rows(texts.select(S.listed(F.col("t")))) == [(["BOS", "LAL"],), ([],), ([],), ([],)]
 
 
+def test_folding_of_all_characters(spark):
+    """Every code point, eight in a text, as Python's decomposition has it."""
+    import sys
+    import unicodedata
+
+    from pyspark.sql import functions as F
+
+    points = [chr(c) for c in range(1, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    held = [c for c in points if ord(c) > 127 and any(ord(x) < 128 for x in unicodedata.normalize("NFKD", c))]
+    texts = ["".join(points[k : k + 64]) for k in range(0, len(points), 64)] + ["".join(held[k : k + 8]) for k in range(0, len(held), 8)]
+    fold = lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if ord(x) < 128)
+    got = dict(rows(spark.createDataFrame([(t,) for t in texts], "t string").select("t", S.ascii_fold(F.col("t")))))
+    assert len(held) > 2000 and got == {t: fold(t) for t in texts}
+    assert rows(spark.createDataFrame([("ﬁn Ⅷ ½ Łódź 𝔄𝔟 Ĳ",)], "t string").select(S.canonical_name(F.col("t")))) == [("fin viii 12 odz Ab ij",)]  # capitals without a small form come from the decomposition
+
+
 def test_book_a(spark, tmp_path):
     sel = lambda m, label, points, price: {"marketId": m, "label": label, "outcomeType": label, "points": points, "displayOdds": {"american": price}}
     doc = {
