@@ -360,4 +360,4 @@ def player_feed(s, d):
     return T(s, d, "customer").select("c_custkey", "c_name").join(form, "c_custkey").join(orders, "c_custkey", "left")
 
 
-from tallyspark.plans import charts, feed, matching, odds, schedule  # noqa: E402, F401
+from tallyspark.plans import charts, feed, landed, matching, odds, schedule  # noqa: E402, F401
