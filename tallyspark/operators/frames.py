@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scalars import ALIASES, aliased, canonical_name, indel_score, sorted_tokens, teams_wanted
+from tallyspark.sources.tables import stored
 
 
 def latest(df: DataFrame, key: str | Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
@@ -112,13 +113,20 @@ def best_match(names: DataFrame, known: DataFrame, cutoff: float, by_tokens: boo
 
 def dictionary(names: DataFrame, known: DataFrame) -> DataFrame:
     """name, candidate and tier of each distinct name that finds a candidate (candidate, ord): 1 the same name, 2 the best of 85 or more, 3 the best
-    of 70 or more by sorted tokens. A name that one tier finds never comes to the next."""
-    each = names.select("name").distinct().join(known.select(F.col("candidate").alias("name"), F.lit(True).alias("exact")), "name", "left")
-    unknown = each.where("exact is null").select("name")
-    near = best_match(unknown, known, 85.0)
-    loose = best_match(unknown.join(near, "name", "left_anti"), known, 70.0, by_tokens=True)
+    of 70 or more by sorted tokens. A name that one tier finds never comes to the next.
+
+    The distinct names, and what the second tier finds, are stored on the way: the rows that they come from are read once, and where all names
+    are known nothing else is planned."""
+    exact = known.select(F.col("candidate").alias("name"), F.lit(True).alias("exact"))
+    told = stored(names.select("name").distinct().join(exact, "name", "left"), "names")
     tier = lambda found, k: found.select("name", "candidate", F.lit(k).alias("tier"))
-    return each.where("exact").select("name", F.col("name").alias("candidate"), F.lit(1).alias("tier")).union(tier(near, 2)).union(tier(loose, 3))
+    same = tier(told.where("exact").withColumn("candidate", F.col("name")), 1)
+    unknown = told.where("exact is null").select("name")
+    if unknown.isEmpty():
+        return same
+    near = stored(best_match(unknown, known, 85.0), "near")
+    loose = best_match(unknown.join(near, "name", "left_anti"), known, 70.0, by_tokens=True)
+    return same.union(tier(near, 2)).union(tier(loose, 3))
 
 
 #: The team of a name's first player in any team: no prop wants it, as empty teams name none.
@@ -143,7 +151,7 @@ def resolve(props: DataFrame, players: DataFrame, aliases: dict[str, str] = ALIA
     each team that it names, and one for any team, however many players have the name."""
     props = props.select("prop_id", aliased(canonical_name(F.col("name")), aliases).alias("name"), teams_wanted(F.col("team"), F.col("team_options")).alias("wanted"))
     players = players.select("player_id", canonical_name(F.col("name")).alias("candidate"), "team", "ord")
-    known = players.groupBy("candidate").agg(F.min("ord").alias("ord"))
+    known = stored(players.groupBy("candidate").agg(F.min("ord").alias("ord")), "known")
     named = props.join(dictionary(props, known), "name")
     teams = F.when(F.col("tier") < 3, F.array_append("wanted", F.lit(ANY_TEAM))).otherwise(F.col("wanted"))
     asked = named.select("prop_id", "candidate", "tier", F.explode(teams).alias("team"))

@@ -15,16 +15,27 @@ def parquet(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path under spark.checkpoint.dir, which driver and executors share; a temporary one on a local master that has none set."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        shared = tempfile.mkdtemp(prefix="spark-")
+        shared = _own.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="spark-")
+        _own[spark.sparkContext.applicationId] = shared
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written as Parquet in a scratch folder and read again: what follows is planned from there, and a lost executor costs no more than it."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _or_empty(spark: SparkSession, read, schema: T.StructType) -> DataFrame:
     try:
         return read()
