@@ -82,19 +82,14 @@ def test_query_columns_and_no_rows(spark, tmp_path):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-@pytest.mark.parametrize("text", ["a" * 300_000, "1.1.1.1 " * 30_000, "a@b.c " * 20_000, "a@b" + ".c" * 100_000, "1 " * 150_000, "+1" * 100_000, "@" * 200_000, "1" * 300_000])
-def test_long_texts(spark, text):
-    """Long runs and thousands of matches in one text, against the same rules applied to each match."""
-    got = personal_data.detect(frame(spark, [(1, text)])).select(F.inline("spans")).where("base").select("kind", "start", "end").collect()
-    rules = {"a": "email", "1.1": "ip"}
-    if text.startswith("a@b.c "):
-        assert [tuple(r) for r in got] == [("email", 6 * k, 6 * k + 5) for k in range(20_000)]
-    elif text.startswith("a@b.c."):
-        assert [tuple(r) for r in got] == [("email", 0, len(text))]
-    elif text.startswith("1.1.1.1"):
-        assert [tuple(r) for r in got if r["kind"] == rules["1.1"]] == [("ip", 8 * k, 8 * k + 7) for k in range(30_000)]
-    else:
-        assert got == []
+def test_long_texts(spark):
+    """Long runs and thousands of matches in one text: what is found is known, and no run costs its square."""
+    texts = {
+        "a" * 300_000: [], "1.1.1.1 " * 30_000: [("ip", 8 * k, 8 * k + 7) for k in range(30_000)], "a@b.c " * 20_000: [("email", 6 * k, 6 * k + 5) for k in range(20_000)], "a@b" + ".c" * 100_000: [("email", 0, 200_003)],
+        "1 " * 150_000: [], "+1" * 100_000: [], "@" * 200_000: [], "1" * 300_000: [],
+    }
+    got = personal_data.detect(frame(spark, list(enumerate(texts))).repartition(4)).collect()
+    assert {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"] if s["base"]] for r in got} == dict(enumerate(texts.values()))
 
 
 @pytest.mark.parametrize("run", [2, 3, 256])
