@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, on the two smaller sizes of the tables."""
+"""Every registered query against its SQL, at the size at which ties and rare values show."""
 
 import datetime
 import math
@@ -9,7 +9,7 @@ import pytest
 
 from tallyspark.plans.queries import ORACLES, QUERIES
 
-DATA = ["/root/testdata/sf0.001", "/root/testdata/sf0.01"]
+DATA = "/root/testdata/sf0.01"
 
 
 def plain(x):
@@ -23,12 +23,11 @@ def rows(names, found):
     return sorted((tuple(plain(r[k]) for k in order) for r in found), key=repr)
 
 
-@pytest.mark.parametrize("data", DATA)
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_query_equals_sql(spark, name, data):
+def test_query_equals_sql(spark, name):
     db = duckdb.connect()
-    for p in Path(data).glob("*.parquet"):
+    for p in Path(DATA).glob("*.parquet"):
         db.execute(f"CREATE VIEW {p.stem} AS FROM '{p}'")
-    df, sql = QUERIES[name](spark, data), db.sql(ORACLES[name])
+    df, sql = QUERIES[name](spark, DATA), db.sql(ORACLES[name])
     assert sorted(df.columns) == sorted(sql.columns)
     assert rows(df.columns, df.collect()) == rows(sql.columns, sql.fetchall())
