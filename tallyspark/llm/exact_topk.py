@@ -107,7 +107,9 @@ def search_block(cands: pa.Table, queries: pa.Table, k: int) -> pa.Table:
 def search(vectors: DataFrame, is_query, k: int = K, scale: int = 256, candidates: int = CANDIDATES, queries: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score of the k best other rows for each row where `is_query` holds, over floor(scale * component)."""
     small_batches(vectors.sparkSession)
-    whole = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
+    # floor() gives a long; a double of 2^53 and more is a whole number already
+    floor = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+    whole = F.transform("embedding", lambda x: floor(F.lit(scale) * x.cast("double")))
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != F.lit(float("inf"))))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & good).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.groupBy("vec_id", "v", "asks").agg(F.count("*").alias("copies"))

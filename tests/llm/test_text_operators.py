@@ -101,6 +101,18 @@ def test_exact_topk_repeats_and_large_components(spark, size):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_exact_topk_components_beyond_a_long(spark):
+    """Components of any size keep their value; a score that does not fit a long is an error, and none is clamped."""
+    from pyspark.sql import functions as F
+
+    rows = [(0, [1 / 256, 0.0]), (1, [-1e30, 3.0]), (2, [2.0, 1.0]), (3, [3.0, 0.0]), (4, [-1e30, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ask = F.col("vec_id") == 0
+    assert [tuple(r) for r in exact_topk.search(df, ask, k=2).collect()] == [(0, 1, 3, 768), (0, 2, 2, 512)]
+    with pytest.raises(Exception, match="too (big|large)|out of bounds|Overflow"):
+        exact_topk.search(df, ask, k=3).collect()
+
+
 @pytest.mark.parametrize("window", [64, 4096])
 def test_packing(docs, window):
     from tokenizers import Tokenizer
