@@ -71,8 +71,8 @@ def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(raw) - LENGTH + 1
     value = h[GRAM] * np.uint64(0xBF58476D1CE4E5B9)
     value ^= value >> np.uint64(32)
-    # the position in the low bits: of equal hashes the leftmost counts, so equal strings have their anchors at equal offsets
-    low = np.uint64((1 << max(23, len(raw).bit_length())) - 1)
+    # the position in the low bits, as many in every slice: of equal hashes the leftmost counts, so equal strings have their anchors at equal offsets
+    low = np.uint64((1 << START_BITS) - 1)
     least = (value & ~low) | np.arange(len(value), dtype=np.uint64)
     width = 1
     while 2 * width <= REACH + 1:
