@@ -18,8 +18,8 @@ SLICE_BYTES = 2 << 20
 #: Bytes in an Arrow batch: the texts of a batch are in a Python worker's memory together.
 BATCH_BYTES = 8 << 20
 
-#: Bounds of a labelled sample: rows, and values of the label.
-SAMPLE, MAX_LABELS = 20_000, 4096
+#: Bounds of a labelled sample: rows, values of the label, and characters of all its texts.
+SAMPLE, MAX_LABELS, SAMPLE_CHARS = 20_000, 4096, 1 << 26
 #: Removes the shuffle files of a query as soon as it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -204,8 +204,9 @@ def bucket(column: Column | str, n: int) -> Column:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where: Column, per_class: int, max_chars: int) -> pd.DataFrame:
     """A bounded sample for fitting: for each value of `label`, the `per_class` rows of least hash whose text has 1 to `max_chars`
-    characters; fewer of each where they would be more than `SAMPLE` together. `labels` has doc_id and `label`; rows where either is null, or
-    where `where` fails, are left out. More than `MAX_LABELS` values are an error.
+    characters; fewer of each where they would be more than `SAMPLE` rows or `SAMPLE_CHARS` characters together, but one at least. `labels` has doc_id
+    and `label`; rows where either is null, or where `where` fails, are left out. More than `MAX_LABELS` values are an error. Of rows that
+    share a doc_id, the one whose text has the least hash counts, and the least label.
 
     The rows of a label are counted by the size of their hashes, in steps of a twelfth of a power of two, which tells a bound under which just
     over `per_class` rows lie; only these are sorted."""
@@ -228,5 +229,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, where: Colum
     chosen = near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_class).select("doc_id", "label")
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
     # SAMPLE rows at most, or one for each label
-    rows = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(hashes, "doc_id")
-    return rows.toPandas()
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text", "label")).alias("row")
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "row.text", "row.label")
+    rows = rows.withColumns({"nth": F.row_number().over(order), "chars": F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    rows = rows.where((F.col("nth") == 1) | (F.col("chars") <= SAMPLE_CHARS // max(1, len(values))))
+    return rows.drop("nth", "chars").orderBy(hashes, "doc_id").toPandas()
