@@ -1,7 +1,8 @@
 """Language identification: a bidirectional gated recurrent network over bytes labels every position of a text.
 
 Each text's UTF-8 bytes are cut into runs of `SPAN` bytes; two recurrent layers read every run from both ends, and a softmax over
-the languages labels each byte. A document's probabilities are the mean over all its positions, so whole texts count. The network is
+the languages labels each byte. Each layer begins `MARGIN` bytes before its end of the run, in the neighbouring runs of the text, so every byte is
+labelled with at least so many bytes of its text on both sides. A document's probabilities are the mean over all its positions, so whole texts count. The network is
 trained on the driver by back-propagation through time, on a bounded sample of labelled rows (`PER_LANG` a language).
 
 Defined results: a null text, an empty one and one without a letter get `und` with score 0; repeated rows are predicted one by one;
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm import gru
 from tallyspark.llm.common import bucket, kept_rows, labelled_sample, slices, small_batches, table, utf8
 
-SPAN = 64
+SPAN, MARGIN = 64, 32
 HIDDEN = 8
 PER_LANG = 500
 MAX_CHARS = 20_000
@@ -36,16 +37,19 @@ class ByteTagger:
     params: dict[str, np.ndarray]
 
     def position_probs(self, spans: np.ndarray) -> np.ndarray:
-        """spans: runs x SPAN byte codes (PAD where a run has ended). Returns SPAN x runs x languages."""
+        """spans: byte codes of runs with their margins, a run a row (PAD beyond its text). Returns places x runs x languages; zeros in the margins."""
         p, codes = self.params, np.ascontiguousarray(spans.T)
-        ahead = gru.run(gru.held(p["in_a"][:PAD]), p["u_a"], codes)
-        back = gru.run(gru.held(p["in_b"][:PAD]), p["u_b"], codes[::-1])[::-1]
+        own = slice(MARGIN, len(codes) - MARGIN)
+        ahead = gru.run(gru.held(p["in_a"][:PAD]), p["u_a"], codes[: own.stop])[MARGIN:]
+        back = gru.run(gru.held(p["in_b"][:PAD]), p["u_b"], codes[MARGIN:][::-1])[MARGIN:][::-1]
         e = ahead.reshape(-1, HIDDEN) @ p["w_a"]
         e += np.ascontiguousarray(back).reshape(-1, HIDDEN) @ p["w_b"]
         e += p["b"]
         np.exp(np.clip(e, -80, 80, out=e), out=e)
-        e *= ((codes != PAD).ravel() / (e @ np.ones(e.shape[1], np.float32)))[:, None]
-        return e.reshape(*codes.shape, -1)
+        e *= ((codes[own] != PAD).ravel() / (e @ np.ones(e.shape[1], np.float32)))[:, None]
+        out = np.zeros((*codes.shape, e.shape[1]), np.float32)
+        out[own] = e.reshape(-1, codes.shape[1], e.shape[1])
+        return out
 
     def document_probs(self, raw: np.ndarray, at: np.ndarray, block: int = 2048) -> np.ndarray:
         """Mean of the positions' probabilities for each text in `raw` (texts start at `at`); zeros for an empty one."""
@@ -56,16 +60,16 @@ class ByteTagger:
         return total / np.maximum(np.diff(at), 1)[:, None]
 
 
-def cut(raw: np.ndarray, at: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
-    """Runs of `span` bytes that never cross texts, and the text of each run."""
+def cut(raw: np.ndarray, at: np.ndarray, span: int = SPAN, margin: int = MARGIN) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of `span` bytes with `margin` bytes on both sides that never cross texts, and the text of each run."""
     size = np.diff(at)
     runs = -(-size // span)
     owner = np.repeat(np.arange(len(size)), runs)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(runs) - runs, runs)
-    place = (at[:-1][owner] + nth * span)[:, None] + np.arange(span)
-    inside = place < at[1:][owner][:, None]
-    padded = np.append(raw, np.uint8(0))
-    return np.where(inside, padded[np.minimum(place, len(raw))], PAD).astype(np.int16), owner
+    place = (at[:-1][owner] + nth * span)[:, None] + np.arange(-margin, span + margin)
+    inside = (place >= at[:-1][owner][:, None]) & (place < at[1:][owner][:, None])
+    padded = np.append(raw, np.uint8(0)).astype(np.int16)  # PAD does not fit a byte
+    return np.where(inside, padded[np.clip(place, 0, len(raw))], np.int16(PAD)), owner
 
 
 def train(texts: list[str], langs: list[str], steps: int = 300, runs: int = 128, seed: int = 7) -> ByteTagger:
@@ -82,19 +86,21 @@ def train(texts: list[str], langs: list[str], steps: int = 300, runs: int = 128,
         adam.rate = 0.02 * (1 - step / steps) + 0.001
         pick = np.concatenate([rng.choice(x, -(-runs // len(names))) for x in by_lang])
         codes = np.ascontiguousarray(spans[pick].T)
-        mask = (codes != PAD).astype(np.float32)
-        ahead, cache_a = gru.forward(p["in_a"][codes], p["u_a"], mask, keep=True)
-        back_r, cache_b = gru.forward(p["in_b"][codes[::-1]], p["u_b"], mask[::-1], keep=True)
-        back = back_r[::-1]
+        own, before, after = slice(MARGIN, len(codes) - MARGIN), codes[: len(codes) - MARGIN], codes[MARGIN:][::-1]
+        mask = (codes[own] != PAD).astype(np.float32)
+        ahead, cache_a = gru.forward(p["in_a"][before], p["u_a"], (before != PAD).astype(np.float32), keep=True)
+        back_r, cache_b = gru.forward(p["in_b"][after], p["u_b"], (after != PAD).astype(np.float32), keep=True)
+        ahead, back = ahead[MARGIN:], back_r[MARGIN:][::-1]
         logits = ahead @ p["w_a"] + back @ p["w_b"] + p["b"]
         e = np.exp(logits - logits.max(axis=2, keepdims=True))
         d = e / e.sum(axis=2, keepdims=True)
         d[:, np.arange(len(pick)), label[pick]] -= 1
         d *= (mask / mask.sum())[:, :, None]
         flat = d.reshape(-1, len(names))
-        d_a, du_a = gru.backward(d @ p["w_a"].T, cache_a)
-        d_b, du_b = gru.backward((d @ p["w_b"].T)[::-1], cache_b)
-        adam.step({"in_a": gru.add_rows(codes, d_a, PAD + 1), "in_b": gru.add_rows(codes[::-1], d_b, PAD + 1), "u_a": du_a, "u_b": du_b, "w_a": ahead.reshape(-1, HIDDEN).T @ flat, "w_b": back.reshape(-1, HIDDEN).T @ flat, "b": flat.sum(axis=0)})
+        none = np.zeros((MARGIN, len(pick), HIDDEN), np.float32)  # no loss in the margins
+        d_a, du_a = gru.backward(np.concatenate([none, d @ p["w_a"].T]), cache_a)
+        d_b, du_b = gru.backward(np.concatenate([none, (d @ p["w_b"].T)[::-1]]), cache_b)
+        adam.step({"in_a": gru.add_rows(before, d_a, PAD + 1), "in_b": gru.add_rows(after, d_b, PAD + 1), "u_a": du_a, "u_b": du_b, "w_a": ahead.reshape(-1, HIDDEN).T @ flat, "w_b": back.reshape(-1, HIDDEN).T @ flat, "b": flat.sum(axis=0)})
     return ByteTagger(names, p)
 
 

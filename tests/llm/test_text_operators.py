@@ -364,7 +364,7 @@ def test_all_notices_in_one_text(spark):
     assert license_scan.scan_licenses(df.limit(0), license_scan.build_index(license_scan.document_frequency(df.limit(0)))).count() == 0
 
 
-def test_labelled_sample(spark):
+def test_labelled_sample(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     from tallyspark.llm import common
@@ -377,6 +377,15 @@ def test_labelled_sample(spark):
     for label in {r["lang"] for r in rows}:
         want |= {r["doc_id"] for r in sorted((r for r in rows if r["lang"] == label), key=lambda r: r["h"])[:20]}
     assert set(got["doc_id"]) == want and got["label"].nunique() == 81  # a tenth of the labels has no text
+    assert set(common.labelled_sample(docs.repartition(7), labels, "lang", F.col("doc_id") > 10, 20, 100)["doc_id"]) == want
+    # of rows that share a doc_id the text of least hash counts, however they are dealt; a label's texts end where their characters do
+    twice = docs.select("doc_id", F.explode(F.array(F.lit("one"), F.lit("other"), F.lit("a third"))).alias("text"))
+    least = min(((r["h"], r["t"]) for r in spark.sql("SELECT xxhash64(t) h, t FROM VALUES ('one'), ('other'), ('a third') x(t)").collect()))[1]
+    for parts in (1, 5):
+        assert set(common.labelled_sample(twice.repartition(parts, "text"), labels, "lang", F.col("doc_id") > 5900, 20, 100)["text"]) == {least}
+    monkeypatch.setattr(common, "SAMPLE_CHARS", 90 * 9 * 3)
+    few = common.labelled_sample(docs, labels, "lang", F.col("doc_id") > 10, 20, 100)
+    assert few.groupby("label").size().max() == 3 and few["label"].nunique() == 81 and set(few["doc_id"]) < want
     with pytest.raises(ValueError, match="more than 4096"):
         common.labelled_sample(docs, docs.withColumn("label", F.col("doc_id").cast("string")), "label", F.lit(True), 20, 100)
 
@@ -529,6 +538,91 @@ def sorted_frequent(texts):
     return vocab.filter(pa.array(held >= toxicity.LEAST_DOCS)).to_pylist()
 
 
+def plain_states(gates, u):
+    """A recurrent layer, one state at a time."""
+    import numpy as np
+
+    h = len(u)
+    state, out = np.zeros(h), []
+    for g in gates:
+        own = state @ u
+        z, r = (1 / (1 + np.exp(-(g[a : a + h] + own[a : a + h]))) for a in (0, h))
+        state = z * state + (1 - z) * np.tanh(g[2 * h :] + r * own[2 * h :])
+        out.append(state)
+    return out
+
+
+def test_language_inference_brute_force():
+    """Each byte's label from the bytes that its layers read, one byte at a time, against the tagger's means."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    h = language_id.HIDDEN
+    p = {k: rng.normal(0, 0.5, s).astype(np.float32) for k, s in (("in_a", (257, 3 * h)), ("in_b", (257, 3 * h)), ("u_a", (h, 3 * h)), ("u_b", (h, 3 * h)), ("w_a", (h, 3)), ("w_b", (h, 3)), ("b", (3,)))}
+    texts = ["ab", "", "é" * 40 + LONG, LONG[:64], LONG * 3, LONG[:65], "x"]
+    got = language_id.ByteTagger(["a", "b", "c"], p).document_probs(*language_id.utf8(pa.array(texts)), block=2)
+    for text, mean in zip(texts, got, strict=True):
+        raw, total = text.encode(), np.zeros(3)
+        for i in range(len(raw)):
+            first = i - i % language_id.SPAN
+            left, right = raw[max(0, first - language_id.MARGIN) : i + 1], raw[i : first + language_id.SPAN + language_id.MARGIN]
+            assert len(left) > min(i, language_id.MARGIN) and len(right) > min(len(raw) - 1 - i, language_id.MARGIN)
+            e = np.exp(plain_states(p["in_a"][list(left)], p["u_a"])[-1] @ p["w_a"] + plain_states(p["in_b"][list(right[::-1])], p["u_b"])[-1] @ p["w_b"] + p["b"])
+            total += e / e.sum()
+        assert np.allclose(mean, total / max(1, len(raw)), atol=1e-4), text
+
+
+def test_toxicity_inference_brute_force():
+    """Every window's logit, word by word and state by state, against the scorer's; a document's score is its highest window's."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    c, h, frequent = toxicity.CHAR_HIDDEN, toxicity.HIDDEN, [b"fox", b"the"]
+    sizes = {"c_in_a": (257, 3 * c), "c_in_b": (257, 3 * c), "c_u_a": (c, 3 * c), "c_u_b": (c, 3 * c), "mix_a": (2 * c, 3 * h), "mix_b": (2 * c, 3 * h), "word_a": (3, 3 * h), "word_b": (3, 3 * h)}
+    sizes |= {"u_a": (h, 3 * h), "u_b": (h, 3 * h), "att": (2 * h,), "out": (2 * h,), "bias": (1,)}
+    p = {k: rng.normal(0, 0.4, s).astype(np.float32) for k, s in sizes.items()}
+    scorer = toxicity.WindowScorer(p, frequent, (1.5, -0.25))
+    texts = ["The fox", None, " \n ", LONG * 2, "ÀB " * 16, "w " * 17, "q" * 70, LONG]
+    logit, owner = scorer.logits(pa.array(texts), block=3)
+    for k, text in enumerate(texts):
+        parts = [w[i : i + 16] for w in (x.encode() for x in (text or "").lower().split()) for i in range(0, len(w), 16)]
+        starts = [0] + [s for s in range(8, len(parts), 8) if s + 8 < len(parts)]
+        want = []
+        for s in starts:
+            gates = {"a": [], "b": []}
+            for w in parts[s : s + 16]:
+                ends = np.concatenate([plain_states(p["c_in_a"][list(w)], p["c_u_a"])[-1], plain_states(p["c_in_b"][list(w[::-1])], p["c_u_b"])[-1]])
+                for side in "ab":
+                    gates[side].append(ends @ p[f"mix_{side}"] + p[f"word_{side}"][frequent.index(w) + 1 if w in frequent else 0])
+            states = [np.concatenate(x) for x in zip(plain_states(gates["a"], p["u_a"]), plain_states(gates["b"][::-1], p["u_b"])[::-1], strict=True)]
+            weight = [np.exp(x @ p["att"]) for x in states]
+            want.append(sum((w / sum(weight)) * x for w, x in zip(weight, states, strict=True)) @ p["out"] + p["bias"][0] if states else p["bias"][0])
+        assert np.allclose(logit[owner == k], want, atol=1e-4), text
+        assert abs(scorer.scores(pa.array(texts))[k] - 1 / (1 + np.exp(0.25 - 1.5 * max(want)))) < 1e-4
+
+
+def test_ratio_verdict_brute_force(spark, docs, labels):
+    """The n-gram score and the verdict of every text, in plain Python from both counts."""
+    import math
+
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and r["doc_id"] is not None}
+    learned = {i: t for i, t, _ in ROWS if i in good and t and len(t) <= quality_rules.MAX_CHARS}
+    gram = lambda t: [(int.from_bytes(b[i : i + 4]) * 2654435761 & 0xFFFFFFFF) >> 16 for b in [(t or "").encode()] for i in range(len(b) - 3)]
+    target = collections.Counter(g for t in learned.values() for g in gram(t))
+    raw = collections.Counter(g for _, t, _ in ROWS for g in gram(t))
+    n, m = sum(target.values()), sum(raw.values())
+    assert n and m > n
+    ratio = lambda g: math.log((target[g] + 1) / (n + 65536)) - math.log((raw[g] * n / m + 1) / (n + 65536))
+    score = {t: sum(map(ratio, gram(t))) / max(1, len(gram(t))) for _, t, _ in ROWS}
+    fitted = quality_rules.fit(docs, labels)
+    for cut in (quality_rules.THRESHOLD, sorted(score.values())[len(score) // 2] + 1e-9):
+        got = quality_rules.apply_rules(docs, fitted, cut).join(docs.select("doc_id", "text").distinct(), "doc_id", "left").collect()
+        assert len(got) == len(ROWS)
+        for r in got:
+            text = r["text"] if r["doc_id"] is not None else "x" * 700
+            assert abs(r["score"] - score[text]) < 1e-6 and r["kept"] == (not r["base_failed"] and score[text] >= cut)
+
+
 def test_scores(docs, labels):
     for module, model in ((toxicity, toxicity.fit(docs, labels)), (line_quality, line_quality.fit(docs, labels)), (toxicity, None), (line_quality, None)):
         rows = module.predict(docs, model).collect()
