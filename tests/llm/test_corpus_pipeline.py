@@ -62,3 +62,20 @@ def test_empty(spark, corpus):
     docs = spark.read.parquet(f"{corpus}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, corpus).count() == 0, name
+
+
+def test_models_in_stages(spark, tmp_path):
+    """Two languages and labels: both networks are fitted, no clean document goes, toxic ones do, and a text without a letter has no language."""
+    words = {"en": "the old bridge was near where they walked and talked through this night with their friends".split(), "de": "die alte Brücke lag dort wo sie nachts über den Weg gingen und mit ihren Freunden sprachen".split()}
+    say = lambda k, lang, n=40: " ".join(words[lang][(k * 7 + j * (k % 5 + 1) + j * j) % 16] for j in range(n))
+    rows = [(k, say(k, "en" if k % 2 else "de"), "en" if k % 2 else "de") for k in range(160)]
+    rows += [(200 + k, say(k, "en", 15) + " you filthy worthless vermin crawl away " + say(k + 1, "en", 15), "en") for k in range(60)]
+    rows += [(300, "12 34", "en"), (301, "the night", "en"), (302, "die Brücke", "de")]
+    spark.createDataFrame([(i, t, g, "s", len(t)) for i, t, g in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(200 <= i < 300)) for i, _, _ in rows if i < 300], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    known = corpus_pipeline.identify_language(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in known.collect()} == {i for i, _, _ in rows} - {300}
+    clean = corpus_pipeline.drop_toxic(spark, known, str(tmp_path))
+    left = {r["doc_id"] for r in clean.collect()}
+    assert clean.columns == docs.columns and left >= set(range(160)) and len(left & set(range(200, 260))) <= 3
